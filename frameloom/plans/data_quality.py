@@ -41,7 +41,7 @@ def p2_report(spark, d: str) -> DataFrame:
 
 P3_SQL = """
 WITH v AS (
-  SELECT lower(trim(source)) AS source, source_dataset_index AS i, source_frame_start AS a, source_frame_stop AS b FROM sample_manifest
+  SELECT DISTINCT lower(trim(source)) AS source, source_dataset_index AS i, source_frame_start AS a, source_frame_stop AS b FROM sample_manifest
   WHERE source IS NOT NULL AND source_dataset_index IS NOT NULL AND source_frame_stop > source_frame_start),
 m AS (SELECT *, max(b) OVER (PARTITION BY source, i ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM v),
 g AS (SELECT *, sum(CASE WHEN p IS NULL OR a > p THEN 1 ELSE 0 END) OVER (PARTITION BY source, i ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m),
