@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm import events, mixing, splits, terms
+from frameloom.llm import events, leaks, mixing, splits, terms, tokens
 from frameloom.plans.registry import Registry
 from frameloom.session import checkpoint, collect_small, table
 
@@ -124,3 +124,24 @@ def p7_splits(spark, d: str) -> DataFrame:
 def p7_report(spark, d: str) -> DataFrame:
     targets = _split_targets(spark, d)
     return splits.split_report(checkpoint(splits.assign_splits(checkpoint(_groups(spark, d)), targets)), targets)
+
+
+# Problem 8: token ids
+
+
+@R.add("p8_ids")
+def p8_ids(spark, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+# Problem 9: leaks of evaluation texts
+
+
+@R.add("p9_found")
+def p9_found(spark, d: str) -> DataFrame:
+    return p9_leaks(spark, d).filter(F.col("longest_run") >= leaks.RUN).select("doc_id", "item_id")
+
+
+@R.add("p9_leaks")
+def p9_leaks(spark, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
