@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm import events, leaks, mixing, splits, terms, tokens
+from frameloom.llm import events, leaks, mixing, mojibake, splits, terms, tokens
 from frameloom.plans.registry import Registry
 from frameloom.session import checkpoint, collect_small, table
 
@@ -145,3 +145,16 @@ def p9_found(spark, d: str) -> DataFrame:
 @R.add("p9_leaks")
 def p9_leaks(spark, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+# Problem 10: wrong decodings
+
+
+@R.add("p10_found")
+def p10_found(spark, d: str) -> DataFrame:
+    return mojibake.garbled_chunks(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
+
+
+@R.add("p10_restored")
+def p10_restored(spark, d: str) -> DataFrame:
+    return mojibake.restore(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "text", "restored", F.array_join("channels", "; ").alias("channels"))
