@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.operators import compaction, coverage
+from frameloom.operators import compaction, coverage, spikes
 from frameloom.plans.registry import Registry
 from frameloom.session import checkpoint, table
 
 R = Registry()
 
+
+@R.add("p1_found")
+def p1_found(spark, d: str) -> DataFrame:
+    return p1_readings(spark, d).select("seq_id", "frame", "field").distinct()
+
+
+@R.add("p1_readings")
+def p1_readings(spark, d: str) -> DataFrame:
+    return spikes.implausible(table(spark, d, "prediction"), table(spark, d, "gtsequence"))
+
+
 P2_SQL = r"""
 WITH lines AS (
   SELECT kind, trim(unnest(regexp_split_to_array(payload, '\r\n|\r|\n'))) AS line FROM data_files)
