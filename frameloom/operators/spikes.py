@@ -30,7 +30,7 @@ CHUNK = 40_000
 FROZEN_SLACK, FROZEN_USUAL = 4, 8
 #: An excursion deviates more than this many times from the way between its neighbours as the source usually moves in a
 #: frame; an excursion has at most half a profile.
-FAR = 6.0
+FAR = 3.0
 #: Suspects deviate from the low-rank motion by more than this many times the usual residual.
 SUSPECT = 3.0
 #: Physical limits: metres from the camera, metres from the origin, error of a rotation, bone length.
