@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from frameloom.plans.registry import Registry
 
-MODULES = ["data_quality", "media"]
+MODULES = ["data_quality", "media", "sequences"]
 
 
 def core() -> Registry:
