@@ -107,6 +107,14 @@ def geodesic_deg(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.degrees(np.arccos(np.clip((trace - 1) / 2, -1, 1)))
 
 
+def proper(m: np.ndarray) -> np.ndarray:
+    """Which 4x4 poses are finite rigid motions."""
+    with np.errstate(all="ignore"):
+        r = m[:, :3, :3]
+        error = np.abs(np.einsum("nij,nkj->nik", r, r) - np.eye(3)).max((1, 2))
+        return np.isfinite(m).all((1, 2)) & (error < 0.02) & (np.abs(m[:, 3] - [0, 0, 0, 1]).max(1) < 1e-3)
+
+
 def trajectory_metrics(pred: np.ndarray, gt: np.ndarray, with_scale: bool = True) -> dict[str, float]:
     """ATE in mm and percent of the path, RPE of translation and rotation, and the scale; a still track is degenerate."""
     p, g = pred[:, :3, 3], gt[:, :3, 3]
@@ -129,8 +137,9 @@ def trajectory_table(pairs: DataFrame, with_scale: bool = True) -> DataFrame:
 
     def one(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("frame")
-        stack = lambda c: np.stack(df[c].to_numpy()).astype(float).reshape(-1, 4, 4)
-        return pd.DataFrame([{"seq_id": df["seq_id"].iloc[0], **trajectory_metrics(stack("pred"), stack("gt"), with_scale)}])[["seq_id", *names]]
+        pred, gt = (np.stack(df[c].to_numpy()).astype(float).reshape(-1, 4, 4) for c in ("pred", "gt"))
+        fine = proper(pred) & proper(gt)
+        return pd.DataFrame([{"seq_id": df["seq_id"].iloc[0], **trajectory_metrics(pred[fine], gt[fine], with_scale)}])[["seq_id", *names]]
 
     return pairs.groupBy("seq_id").applyInPandas(one, "seq_id STRING, " + ", ".join(f"{n} DOUBLE" for n in names))
 

@@ -91,7 +91,7 @@ def _hash(x: np.ndarray) -> np.ndarray:
 
 def _six(x: np.ndarray) -> np.ndarray:
     """Largest error of rotations given as two rows of three: unit length and right angle."""
-    v = x.reshape(len(x), -1, 2, 3)
+    v = x.reshape(len(x), x.shape[1] // 6, 2, 3)
     unit = np.abs(np.sqrt((v * v).sum(3)) - 1).max((1, 2))
     return np.maximum(unit, np.abs((v[:, :, 0] * v[:, :, 1]).sum(2)).max(1))
 
