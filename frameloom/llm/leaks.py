@@ -105,16 +105,20 @@ def _count(hits: Hits):
 
 
 def rare_seeds(item: np.ndarray, docs: np.ndarray, n: int, run: int) -> np.ndarray:
-    """Positions of an item's seeds: of every ``run`` characters the n-gram that the fewest documents hold, the first on ties.
+    """Positions of an item's seeds: of every ``run`` characters the n-gram that the fewest documents hold, but at least one.
 
-    An item shorter than ``run`` gets the seeds of its whole length, if it has an n-gram at all.
+    The first is taken on ties. What no document holds can't lead to one: a run of characters with such an n-gram is in
+    no document as a whole, and what an edit left of it is found by the rarest n-gram that is left. An item shorter than
+    ``run`` gets the seed of its whole length.
     """
     size = len(item)
     if size < n:
         return np.empty(0, np.int64)
     width = min(run, size) - n + 1
-    windows = np.lib.stride_tricks.sliding_window_view(docs, width)
-    return np.unique(windows.argmin(1) + np.arange(len(windows)))
+    held = np.where(docs > 0, docs, np.iinfo(np.int64).max)
+    windows = np.lib.stride_tricks.sliding_window_view(held, width)
+    at = np.unique(windows.argmin(1) + np.arange(len(windows)))
+    return at[docs[at] > 0]
 
 
 def smith_waterman(items: np.ndarray, windows: np.ndarray) -> np.ndarray:
