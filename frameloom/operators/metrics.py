@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def by_key(df: DataFrame, key: str):
+    """Groups for a Python kernel, dealt over as many tasks as the session shuffles to: adaptive execution would merge
+    them by their few bytes, although their cost is in the kernel."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).groupBy(key)
+
+
 def depth_errors(p: Column, g: Column, digits: dict[str, int] | None = None) -> list[Column]:
     """Aggregates AbsRel, SqRel, RMSE, RMSE of logs and the shares within 1.25, 1.25^2, 1.25^3 of positive depths."""
     d = digits or {}
@@ -141,7 +147,7 @@ def trajectory_table(pairs: DataFrame, with_scale: bool = True) -> DataFrame:
         fine = proper(pred) & proper(gt)
         return pd.DataFrame([{"seq_id": df["seq_id"].iloc[0], **trajectory_metrics(pred[fine], gt[fine], with_scale)}])[["seq_id", *names]]
 
-    return pairs.groupBy("seq_id").applyInPandas(one, "seq_id STRING, " + ", ".join(f"{n} DOUBLE" for n in names))
+    return by_key(pairs, "seq_id").applyInPandas(one, "seq_id STRING, " + ", ".join(f"{n} DOUBLE" for n in names))
 
 
 def joint_errors(pred: np.ndarray, gt: np.ndarray, root: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -183,22 +189,34 @@ def kalman_smooth(t: np.ndarray, z: np.ndarray, q: float = 0.6, r: float = 0.6)
         return z.copy()
     second = np.diff(z, 2)
     noise = max(1e-6, 1.4826 * float(np.median(np.abs(second - np.median(second)))) / np.sqrt(6))
-    x, p = np.array([z[0], 0.0]), np.diag([noise**2, noise**2 * 100])
-    h, rr = np.array([1.0, 0.0]), (r * noise) ** 2
-    xs, ps, xp, pp, fs = [], [], [], [], []
+    # Position, velocity and the three entries of the covariance as plain numbers: a step is a few dozen operations.
+    times, values = t.tolist(), z.tolist()
+    x, v, a, b, c = values[0], 0.0, noise**2, 0.0, noise**2 * 100
+    rr, qq = (r * noise) ** 2, (q * noise) ** 2
+    kept = []
     for i in range(n):
-        dt = t[i] - t[i - 1] if i else 0.0
-        f = np.array([[1.0, dt], [0.0, 1.0]])
-        qm = (q * noise) ** 2 * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
-        x, p = f @ x, f @ p @ f.T + qm
-        xp.append(x), pp.append(p), fs.append(f)
-        k = p @ h / (h @ p @ h + rr)
-        x, p = x + k * (z[i] - h @ x), p - np.outer(k, h @ p)
-        xs.append(x), ps.append(p)
+        dt = times[i] - times[i - 1] if i else 0.0
+        px, pa, pb, pc = x + dt * v, a + 2 * dt * b + dt * dt * c + qq * dt**3 / 3, b + dt * c + qq * dt * dt / 2, c + qq * dt
+        total = pa + rr
+        k1, k2, miss = pa / total, pb / total, values[i] - px
+        x, v, a, b, c = px + k1 * miss, v + k2 * miss, pa - k1 * pa, pb - k1 * pb, pc - k2 * pb
+        kept.append((x, v, a, b, c, dt, px, v - k2 * miss, pa, pb, pc))
+    out = [0.0] * n
+    sx, sv = x, v
+    out[-1] = sx
     for i in range(n - 2, -1, -1):
-        g = ps[i] @ fs[i + 1].T @ np.linalg.pinv(pp[i + 1])
-        xs[i] = xs[i] + g @ (xs[i + 1] - xp[i + 1])
-    return np.array([v[0] for v in xs])
+        x, v, a, b, c, *_ = kept[i]
+        dt, px, pv, pa, pb, pc = kept[i + 1][5:]
+        det = pa * pc - pb * pb
+        if det > 0:
+            # gain = P F' (predicted P)^-1
+            m1, m2, m3, m4 = a + dt * b, b, b + dt * c, c
+            g1, g2, g3, g4 = (m1 * pc - m2 * pb) / det, (m2 * pa - m1 * pb) / det, (m3 * pc - m4 * pb) / det, (m4 * pa - m3 * pb) / det
+            dx, dv = sx - px, sv - pv
+            x, v = x + g1 * dx + g2 * dv, v + g3 * dx + g4 * dv
+        sx, sv = x, v
+        out[i] = sx
+    return np.array(out)
 
 
 def chain_windows(starts: np.ndarray, poses: list[np.ndarray]) -> np.ndarray:

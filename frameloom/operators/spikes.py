@@ -379,7 +379,8 @@ def implausible(prediction: DataFrame, gtsequence: DataFrame, far: float = FAR)
     inner = F.pmod("frame", F.lit(BLOCK))
     blocks = F.array_compact(F.array(b, F.when(inner < HALO, b - 1), F.when(inner >= BLOCK - HALO, b + 1)))
     spread = r.withColumn("block", F.explode(blocks))
-    sorted_ = spread.repartition("track", "seq_id", "block").sortWithinPartitions("track", "seq_id", "block", "frame", "at", "state", "hashes")
+    parts = int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the cost is in the kernel, not in the bytes
+    sorted_ = spread.repartition(parts, "track", "seq_id", "block").sortWithinPartitions("track", "seq_id", "block", "frame", "at", "state", "hashes")
     judged = checkpoint(sorted_.mapInArrow(_judge, OUT))
 
     keys = ["track", "part", "source"]

@@ -19,4 +19,5 @@ def core() -> Registry:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core().queries["p3_found"](spark, sf_dir)
+    """The profile of the media rows: exact quantiles, totals and means of four columns in one aggregation."""
+    return core().queries["a01_numeric_profile"](spark, sf_dir)

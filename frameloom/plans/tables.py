@@ -239,7 +239,7 @@ def m03_extrinsics_head(spark, d):
 
 
 def _by_sequence(df, fn, schema):
-    return df.groupBy("seq_id").applyInPandas(fn, schema)
+    return metrics.by_key(df, "seq_id").applyInPandas(fn, schema)
 
 
 @R.add("m06_pa_mpjpe")

@@ -44,6 +44,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan for a costly Python stage: dealt over all cores where its files give fewer tasks than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def collect_small(df: DataFrame, limit: int = SMALL_ROWS) -> list:
     """Collects a table that is small by construction; fails instead of flooding the driver."""
     rows = df.limit(limit + 1).collect()
