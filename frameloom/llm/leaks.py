@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.session import collect_small
+from frameloom.session import collect_small, spread
 
 #: Characters of a seed, and of the exact run that any leak must be found by if it is that long.
 SEED, RUN = 16, 60
@@ -215,7 +215,7 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
     known = [(r["id"], codes(normalised(r["text"]))) for r in collect_small(items.select(F.col(f"`{item}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).dropna().distinct())]
     if sum(len(c) for _, c in known) > MAX_ITEM_CHARS:
         raise ValueError(f"the evaluation texts hold more than {MAX_ITEM_CHARS} characters; search for them in several sets")
-    docs = documents.select(F.col(f"`{doc}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    docs = spread(documents.select(F.col(f"`{doc}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL"))
     grams = [gram_hashes(c, seed) for _, c in known]
     every = Hits(np.concatenate(grams) if grams else np.empty(0, np.uint64), seed)
     counted = docs.mapInArrow(_count(every), "gram BIGINT, docs BIGINT").groupBy("gram").agg(F.sum("docs").alias("docs"))

@@ -13,6 +13,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.session import spread
+
 #: Folder of the vocabulary files; never copied into this repository.
 TOKENIZERS = os.environ.get("FRAMELOOM_TOKENIZERS", "/opt/tokenizers")
 
@@ -166,7 +168,7 @@ def encode(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folde
     unique among long texts, else the rows get an internal number. Ties and repeated rows each keep their row.
     """
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    small = rows.filter(F.col("text").isNull() | (F.length("text") <= segment_chars)).withColumn("segment", F.lit(0))
+    small = spread(rows).filter(F.col("text").isNull() | (F.length("text") <= segment_chars)).withColumn("segment", F.lit(0))
     done = small.select("id", "segment", "text").mapInArrow(_encode_segments(folder, name), SEGMENTS).select("id", "ids")
 
     long = rows.filter(F.length("text") > segment_chars)
@@ -174,7 +176,7 @@ def encode(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folde
     pieces = long.withColumn("row", F.struct("id", F.xxhash64("text").alias("h"), F.length("text").alias("n"))).select("row", F.explode(F.transform(cuts, lambda i: F.struct(i.alias("segment"), F.substring("text", i * segment_chars + 1, F.lit(segment_chars)).alias("text")))).alias("s"))
     flat = pieces.select("row", F.col("s.segment").alias("segment"), F.col("s.text").alias("text"))
     # Repeated rows: equal segments of equal rows are encoded once and counted.
-    once = flat.groupBy("row", "segment", "text").agg(F.count(F.lit(1)).alias("copies")).repartition("row", "segment")
+    once = flat.groupBy("row", "segment", "text").agg(F.count(F.lit(1)).alias("copies")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "segment")
     coded = once.mapInArrow(_encode_rows(folder, name), "row STRUCT<id: BIGINT, h: BIGINT, n: INT>, segment INT, copies BIGINT, ids ARRAY<INT>")
     whole = coded.groupBy("row").agg(F.max("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("segment", "ids"))).alias("s"))
     each = whole.select(F.col("row.id").alias("id"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))), F.transform("s", lambda x: x["ids"]).alias("parts")).select("id", "parts")
