@@ -59,6 +59,7 @@ def camera_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, "path STRING, intrinsics ARRAY<DOUBLE>, extrinsics ARRAY<DOUBLE>, error STRING")
 
 
+#: Fixed value: the tag that begins a binary camera file.
 CAMERA_TAG = 202021.25
 
 
