@@ -232,13 +232,13 @@ def m14_consistency_terms(spark, d):
 
 
 @R.add("m15_metric_curves", f"""WITH s AS (SELECT seq_id, frame, x - lag(x) OVER w AS v, x - 2 * lag(x) OVER w + lag(x, 2) OVER w AS a FROM {FR} WINDOW w AS (PARTITION BY seq_id ORDER BY frame))
-SELECT seq_id, frame, round(v, 6) AS velocity, round(a, 6) AS acceleration, round(CASE WHEN count(v) OVER r >= 5 THEN avg(abs(v)) OVER r END, 9) AS smooth FROM s WINDOW r AS (PARTITION BY seq_id ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
+SELECT seq_id, frame, round(v, 6) AS velocity, round(a, 6) AS acceleration, round(CASE WHEN count(v) OVER r >= 5 THEN avg(abs(v)) OVER r END, 12) AS smooth FROM s WINDOW r AS (PARTITION BY seq_id ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def m15_metric_curves(spark, d):
     w = Window.partitionBy("seq_id").orderBy("frame")
     one, two = F.lag("x").over(w), F.lag("x", 2).over(w)
     s = base.load(spark, d, "FRAMES").select("seq_id", "frame", (F.col("x") - one).alias("v"), (F.col("x") - 2 * one + two).alias("a"))
     r = w.rowsBetween(-4, 0)
-    return s.select("seq_id", "frame", F.round("v", 6).alias("velocity"), F.round("a", 6).alias("acceleration"), F.round(F.when(F.count("v").over(r) >= 5, F.avg(F.abs("v")).over(r)), 9).alias("smooth"))
+    return s.select("seq_id", "frame", F.round("v", 6).alias("velocity"), F.round("a", 6).alias("acceleration"), F.round(F.when(F.count("v").over(r) >= 5, F.avg(F.abs("v")).over(r)), 12).alias("smooth"))
 
 
 @R.add("u01_metric_heads", f"SELECT 'extrinsics' AS head, 'evaluated' AS status, 'ate' AS metric, round(avg(ate), 6) AS value FROM {SC} UNION ALL SELECT 'depth', 'skipped', NULL, NULL UNION ALL SELECT 'points', 'not_implemented', NULL, NULL")
