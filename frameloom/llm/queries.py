@@ -105,7 +105,18 @@ def _groups(spark, d: str) -> DataFrame:
     return splits.related_groups(manifest, "episode_index", ["source", "source_dataset_index"])
 
 
-@R.add("p7_found")
+P7_SQL = """
+WITH RECURSIVE m AS (SELECT DISTINCT episode_index AS e, lower(trim(source)) AS s, source_dataset_index AS i FROM sample_manifest WHERE episode_index IS NOT NULL),
+low AS (SELECT s, i, min(e) AS low FROM m WHERE s IS NOT NULL AND i IS NOT NULL GROUP BY s, i),
+l AS (SELECT DISTINCT m.e, low.low FROM m JOIN low ON low.s = m.s AND low.i = m.i),
+links AS (SELECT DISTINCT a.low AS x, b.low AS y FROM l a JOIN l b ON a.e = b.e AND a.low <> b.low),
+reach(x, y) AS (SELECT DISTINCT low, low FROM l UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+root AS (SELECT x AS low, min(y) AS root FROM reach GROUP BY x)
+SELECT n.e AS episode_index, coalesce(min(root.root), n.e) AS group_episode FROM (SELECT DISTINCT e FROM m) n LEFT JOIN l ON l.e = n.e LEFT JOIN root ON root.low = l.low GROUP BY n.e
+"""
+
+
+@R.add("p7_found", P7_SQL)
 def p7_found(spark, d: str) -> DataFrame:
     return _groups(spark, d).select(F.col("record").alias("episode_index"), F.col("root").alias("group_episode"))
 
