@@ -33,7 +33,7 @@ def verify_segments(sources: DataFrame, segments: DataFrame, key: str, seconds:
     j = sources.join(got, key, "left")
     off = lambda a, b, tol: F.abs(F.col(a) - F.col(b)) > F.greatest(F.lit(float(tol)), F.col(b) * share)
     status = (
-        F.when(F.col("error").isNotNull() | (F.col("duration") <= 0), "probe_src")
+        F.when(F.col("error").isNotNull() | (F.coalesce("duration", F.lit(0.0)) <= 0), "probe_src")
         .when(F.coalesce("n", F.lit(0)) == 0, "miss")
         .when(F.col("fit") < F.col("expected"), "seg_miss")
         .when(F.col("extra") > 0, "seg_extra")
