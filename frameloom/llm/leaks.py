@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from frameloom.session import collect_small, spread
 
-#: Characters of a seed, and of the exact run that any leak must be found by if it is that long.
+#: Characters of a seed, and of the exact run that makes a pair a case of ``p9_found``.
 SEED, RUN = 16, 60
 #: Smith-Waterman: match, mismatch, gap; the least score of a reported leak is that of so many matching characters.
 MATCH, MISMATCH, GAP, LEAST = 2, -3, -3, 40
@@ -91,61 +92,46 @@ def _batches(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Itera
         yield ids, texts
 
 
-def _count(hits: Hits):
-    schema = pa.schema([("gram", pa.int64()), ("docs", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _batches(batches):
-            text, _, which, _, _ = hits.find(texts)
-            pairs = np.unique(np.stack([text, which], 1), axis=0) if len(text) else np.empty((0, 2), np.int64)
-            gram, docs = np.unique(pairs[:, 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(docs.astype(np.int64))], schema=schema)
-
-    return run
-
-
-def rare_seeds(item: np.ndarray, docs: np.ndarray, n: int, run: int) -> np.ndarray:
-    """Positions of an item's seeds: of every ``run`` characters the n-gram that the fewest documents hold, but at least one.
+def smith_waterman(items: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Best local score of each padded item against its padded window (pads: 0 in items, 1 in windows).
 
-    The first is taken on ties. What no document holds can't lead to one: a run of characters with such an n-gram is in
-    no document as a whole, and what an edit left of it is found by the rarest n-gram that is left. An item shorter than
-    ``run`` gets the seed of its whole length.
+    By antidiagonals, so that a step needs the two before it only; the pairs lie side by side in memory.
     """
-    size = len(item)
-    if size < n:
-        return np.empty(0, np.int64)
-    width = min(run, size) - n + 1
-    held = np.where(docs > 0, docs, np.iinfo(np.int64).max)
-    windows = np.lib.stride_tricks.sliding_window_view(held, width)
-    at = np.unique(windows.argmin(1) + np.arange(len(windows)))
-    return at[docs[at] > 0]
-
-
-def smith_waterman(items: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Best local score of each padded item against its padded window (pads: 0 in items, 1 in windows)."""
-    gap = -GAP * np.arange(windows.shape[1], dtype=np.int32)
-    h = np.zeros((len(items), windows.shape[1] + 1), np.int32)
-    best = np.zeros(len(items), np.int32)
-    for i in range(items.shape[1]):
-        same = windows == items[:, i : i + 1]
-        t = np.maximum(h[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH)), h[:, 1:] + np.int32(GAP))
-        np.maximum(t, 0, out=t)
-        t = np.maximum.accumulate(t + gap, axis=1) - gap  # gaps along the window
-        h[:, 1:] = t
-        np.maximum(best, t.max(1), out=best)
-    return best
-
-
-def _align(jobs: list[tuple[np.ndarray, np.ndarray]], width: int = 64) -> np.ndarray:
+    n, size = items.shape
+    kind = np.int16 if MATCH * size < 1 << 14 else np.int32
+    match, mismatch, gap = kind(MATCH), kind(MISMATCH), kind(GAP)
+    across = np.ascontiguousarray(items.T)
+    back = np.ones((windows.shape[1] + 2 * size, n), np.uint32)  # the window backwards, pads around it
+    back[size : size + windows.shape[1]] = windows.T[::-1]
+    before, last, now = (np.zeros((size + 1, n), kind) for _ in range(3))
+    best = np.zeros((size, n), kind)
+    for d in range(size + windows.shape[1] - 1):
+        lo = size + windows.shape[1] - 1 - d
+        step = np.where(across == back[lo : lo + size], match, mismatch)
+        step += before[:-1]
+        way = np.maximum(last[:-1], last[1:])
+        way += gap
+        np.maximum(step, way, out=step)
+        np.maximum(step, kind(0), out=now[1:])
+        np.maximum(best, now[1:], out=best)
+        before, last, now = last, now, before
+    return best.max(0).astype(np.int32) if size else np.zeros(n, np.int32)
+
+
+def _align(jobs: list[tuple[np.ndarray, np.ndarray]], width: int = 256) -> np.ndarray:
+    """Scores of all pairs, those of like sizes side by side."""
     out = np.zeros(len(jobs), np.int32)
     order = sorted(range(len(jobs)), key=lambda k: (len(jobs[k][0]), len(jobs[k][1])))
-    for lo in range(0, len(order), width):
-        some = order[lo : lo + width]
+    lo = 0
+    while lo < len(order):
+        least = len(jobs[order[lo]][1])
+        some = list(itertools.takewhile(lambda k: len(jobs[k][1]) <= 2 * least + 64, order[lo : lo + width]))  # noqa: B023
         a = np.zeros((len(some), max(len(jobs[k][0]) for k in some)), np.uint32)
         b = np.ones((len(some), max(len(jobs[k][1]) for k in some)), np.uint32)
         for r, k in enumerate(some):
             a[r, : len(jobs[k][0])], b[r, : len(jobs[k][1])] = jobs[k]
         out[some] = smith_waterman(a, b)
+        lo += len(some)
     return out
 
 
@@ -154,7 +140,7 @@ def _longest_true(same: np.ndarray) -> int:
     return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
 
 
-def _search(seeds: Hits, owners: list[list[tuple[int, int]]], items: list[tuple[int, np.ndarray]]):
+def _search(seeds: Hits, owners: list[list[tuple[int, int]]], items: list[tuple[int, np.ndarray]], least_run: int):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.int32()), ("coverage", pa.float64()), ("longest_run", pa.int32()), ("doc_from", pa.int32()), ("doc_to", pa.int32())])
     first = np.cumsum([0, *map(len, owners)])
     flat = np.array([x for o in owners for x in o], np.int64).reshape(-1, 2)
@@ -184,6 +170,8 @@ def _search(seeds: Hits, owners: list[list[tuple[int, int]]], items: list[tuple[
                 for shift in lines[lo:hi, 2]:
                     i0, i1 = max(0, -int(shift)), min(len(item), a1 - a0 - int(shift))
                     longest = max(longest, _longest_true(item[i0:i1] == all_[a0 + shift + i0 : a0 + shift + i1]))
+                if longest < least_run:
+                    continue
                 pad = len(item) // 8 + 8
                 w0 = max(a0, a0 + int(lines[lo, 2]) - pad)
                 w1 = min(a1, a0 + int(lines[hi - 1, 2]) + len(item) + pad)
@@ -202,34 +190,25 @@ def _search(seeds: Hits, owners: list[list[tuple[int, int]]], items: list[tuple[
     return run
 
 
-def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, seed: int = SEED, run: int = RUN) -> DataFrame:
+def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, seed: int = SEED, least_run: int = 0) -> DataFrame:
     """``LEAKS``: every pair of a document and an evaluation item that share a passage, with the alignment's score.
 
-    Both texts are reduced to letters and digits. The n-grams of the items are counted over all documents, and of
-    every ``run`` characters of an item the rarest is its seed, so that a shared run of that length always holds one.
-    Around the seeds a document has, the item is aligned by Smith-Waterman; pairs scoring at least ``MATCH * LEAST`` come
-    out, exact runs of ``run`` characters among them always. ``longest_run`` is the longest exact run through a seed.
-    Documents are read twice and never shuffled; null and empty texts, null ids, and items shorter than a seed match
-    nothing. Repeated document ids give a row for each batch they lie in at most.
+    Both texts are reduced to letters and digits. Every n-gram of the items is a seed, whatever other documents hold, so
+    that an edited copy is found by any ``seed`` characters that an edit left. Around the seeds a document has, the
+    item is aligned by Smith-Waterman; pairs scoring at least ``MATCH * LEAST`` come out, exact runs of ``LEAST``
+    characters among them always. ``longest_run`` is the longest exact run through a seed; with ``least_run``
+    only places with one that long are aligned and come out. Documents are read once and never shuffled; null and empty
+    texts, null ids, and items shorter than a seed match nothing. Repeated document ids give a row for each batch they
+    lie in at most.
     """
     known = [(r["id"], codes(normalised(r["text"]))) for r in collect_small(items.select(F.col(f"`{item}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).dropna().distinct())]
     if sum(len(c) for _, c in known) > MAX_ITEM_CHARS:
         raise ValueError(f"the evaluation texts hold more than {MAX_ITEM_CHARS} characters; search for them in several sets")
     docs = spread(documents.select(F.col(f"`{doc}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL"))
     grams = [gram_hashes(c, seed) for _, c in known]
-    every = Hits(np.concatenate(grams) if grams else np.empty(0, np.uint64), seed)
-    counted = docs.mapInArrow(_count(every), "gram BIGINT, docs BIGINT").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    freq = np.zeros(len(every.wanted), np.int64)
-    for r in collect_small(counted, MAX_ITEM_CHARS):  # one row for each n-gram of the items at most
-        freq[r["gram"]] = r["docs"]
-    chosen: dict[int, list[tuple[int, int]]] = {}
-    for number, ((_, c), g) in enumerate(zip(known, grams, strict=True)):
-        for p in rare_seeds(c, freq[np.searchsorted(every.wanted, g)], seed, run):
-            chosen.setdefault(int(g[p]), []).append((number, int(p)))
-    seeds = Hits(np.array(sorted(chosen), np.uint64), seed)
-    # An item may hold a seed's n-gram at several places; all of them count.
-    places: dict[int, list[tuple[int, int]]] = {h: [] for h in chosen}
+    places: dict[int, list[tuple[int, int]]] = {}
     for number, g in enumerate(grams):
-        for p in np.flatnonzero(np.isin(g, seeds.wanted)):
-            places[int(g[p])].append((number, int(p)))
-    return docs.mapInArrow(_search(seeds, [places[int(h)] for h in seeds.wanted], known), LEAKS)
+        for p, h in enumerate(g.tolist()):
+            places.setdefault(h, []).append((number, p))
+    seeds = Hits(np.array(list(places), np.uint64), seed)
+    return docs.mapInArrow(_search(seeds, [places[int(h)] for h in seeds.wanted], known, least_run), LEAKS)

@@ -148,14 +148,18 @@ def p8_ids(spark, d: str) -> DataFrame:
 # Problem 9: leaks of evaluation texts
 
 
+def _leaks(spark, d: str, least_run: int = 0) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", least_run=least_run)
+
+
 @R.add("p9_found")
 def p9_found(spark, d: str) -> DataFrame:
-    return p9_leaks(spark, d).filter(F.col("longest_run") >= leaks.RUN).select("doc_id", "item_id")
+    return _leaks(spark, d, leaks.RUN).select("doc_id", "item_id")
 
 
 @R.add("p9_leaks")
 def p9_leaks(spark, d: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return _leaks(spark, d)
 
 
 # Problem 10: wrong decodings
