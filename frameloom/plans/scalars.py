@@ -35,7 +35,7 @@ def c03_clip_key(spark, d):
 
 @R.add("c04_truncate", "SELECT doc_id, CASE WHEN length(text) > 200 THEN concat(left(text, 200), '...[truncated]') ELSE text END AS cut FROM documents WHERE regexp_full_match(text, '[ -~\\s]*')")
 def c04_truncate(spark, d):
-    return table(spark, d, "documents").filter(F.col("text").rlike(r"^[ -~\s]*$")).select("doc_id", text.truncate(F.col("text"), 200).alias("cut"))
+    return table(spark, d, "documents").select("doc_id", text.truncate(F.col("text"), 200).alias("cut"))
 
 
 @R.add("c05_name_parts", "SELECT file_id, TRY_CAST(regexp_extract(file_path, 'chunk-([0-9]+)', 1) AS INT) AS chunk, TRY_CAST(regexp_extract(file_path, 'file-([0-9]+)', 1) AS INT) AS file, TRY_CAST(nullif(regexp_extract(file_path, '-r([0-9]+)[.]', 1), '') AS INT) AS rewrite FROM data_files")
