@@ -136,9 +136,11 @@ def o12_sequence_shards(spark, d):
 
 @R.add("c09_short_duration", f"SELECT media_id, CASE WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN printf('%.1fm', s / 60) ELSE printf('%.1fh', s / 3600) END AS label FROM (SELECT media_id, floor(duration_sec * 2)::DOUBLE / 2 AS s FROM {M} WHERE duration_sec IS NOT NULL) WHERE s < 60")
 def c09_short_duration(spark, d):
+    """``format_number`` rounds the exact binary value, halves to even, as C's printf does; ``format_string`` rounds the shortest decimal up."""
     s = F.col("s")
-    m = base.load(spark, d, "MEDIA").filter("duration_sec IS NOT NULL").select("media_id", (F.floor(F.col("duration_sec") * 2) / 2).cast("double").alias("s")).filter("s < 60")
-    return m.select("media_id", F.when(s < 60, F.format_string("%.1fs", s)).when(s < 3600, F.format_string("%.1fm", s / 60)).otherwise(F.format_string("%.1fh", s / 3600)).alias("label"))
+    one = lambda x, unit: F.concat(F.expr(f"format_number({x}, '0.0')"), F.lit(unit))
+    m = base.load(spark, d, "MEDIA").filter("duration_sec IS NOT NULL").select("media_id", (F.floor(F.col("duration_sec") * 2) / 2).cast("double").alias("s"))
+    return m.select("media_id", F.when(s < 60, one("s", "s")).when(s < 3600, one("s / 60", "m")).otherwise(one("s / 3600", "h")).alias("label"))
 
 
 @R.add("c32_fov_from_intrinsics", f"SELECT media_id, round(degrees(2 * atan(width / (2 * 900.0))), 6) AS fov_h, round(degrees(2 * atan(height / (2 * 900.0))), 6) AS fov_v FROM {M} WHERE width > 0")
