@@ -180,7 +180,10 @@ def channel_gains(docs: DataFrame) -> DataFrame:
     filled = holed.join(shape, "run", "left").groupBy("chunk").agg(F.max(F.when(F.col("run") == F.col("chunk"), F.col("word"))).alias("all"), F.collect_list(F.struct("run", "word")).alias("runs"))
     mended = F.aggregate(F.sort_array("runs"), F.col("chunk"), lambda acc, x: F.coalesce(F.replace(acc, x["run"], x["word"]), acc))
     lost = filled.select("chunk", F.array(F.struct(F.lit("lost bytes").alias("channel"), F.lit(LOST_GAIN).alias("gain"), F.coalesce("all", mended).alias("new"))).alias("options"))
-    return better.unionByName(lost).groupBy("chunk").agg(F.flatten(F.collect_list("options")).alias("options"))
+    # That a byte was lost is proof of a wrong reading, whichever it was: among the readings of such a chunk the words decide.
+    certain = F.when(F.col("chunk").contains(LOST), LOST_GAIN).otherwise(0.0)
+    sure = better.withColumn("options", F.transform("options", lambda x: F.struct(x["channel"].alias("channel"), (x["gain"] + certain).alias("gain"), x["new"].alias("new"))))
+    return sure.unionByName(lost).groupBy("chunk").agg(F.flatten(F.collect_list("options")).alias("options"))
 
 
 def best_path(options: list[dict[str, tuple[float, str]]]) -> list[str]:
