@@ -45,12 +45,12 @@ k AS (SELECT *, frame - row_number() OVER (PARTITION BY track, seq_id, on_ ORDER
 """
 
 
-def _tracks(spark, d: str) -> DataFrame:
+def _tracks(spark, d: str, **more) -> DataFrame:
     logit = lambda i: F.when(~F.isnan(F.get("hand_presence_logits", F.lit(i))), (F.get("hand_presence_logits", F.lit(i)) >= 0).cast("int"))
     pred = table(spark, d, "prediction").select("seq_id", "frame", "ingested_at", logit(0).alias("pred_left"), logit(1).alias("pred_right"))
     gt = table(spark, d, "gtsequence").select("seq_id", "frame", "ingested_at", F.col("hand_valid").cast("int").alias("gt"))
-    left = events.collapse_runs(pred, "seq_id", "frame", ["pred_left", "pred_right"], order="ingested_at")
-    return left.unionByName(events.collapse_runs(gt, "seq_id", "frame", ["gt"], order="ingested_at"))
+    left = events.collapse_runs(pred, "seq_id", "frame", ["pred_left", "pred_right"], order="ingested_at", **more)
+    return left.unionByName(events.collapse_runs(gt, "seq_id", "frame", ["gt"], order="ingested_at", **more))
 
 
 @R.add("p5_found", P5_SQL + "SELECT track, seq_id, min(frame) AS frame_first, max(frame) AS frame_last FROM k GROUP BY track, seq_id, on_, isle")
@@ -58,26 +58,29 @@ def p5_found(spark, d: str) -> DataFrame:
     return _tracks(spark, d).select("track", F.col("entity").alias("seq_id"), F.col("first").alias("frame_first"), F.col("last").alias("frame_last"))
 
 
+def _with_duration(spark, d: str, runs: DataFrame) -> DataFrame:
+    spf = (F.max("ts") - F.min("ts")) / F.nullif(F.max("frame") - F.min("frame"), F.lit(0))
+    rate = table(spark, d, "prediction").filter(~F.isnan("ts") & (F.abs("ts") < float("inf"))).groupBy("seq_id").agg(spf.alias("spf"))
+    return runs.join(rate, "seq_id", "left").withColumn("duration_sec", F.round(F.col("n_frames") * F.col("spf"), 6)).drop("spf")
+
+
 @R.add("p5_events", P5_SQL + """, r AS (SELECT seq_id, (max(ts) - min(ts)) / nullif(max(frame) - min(frame), 0) AS spf FROM prediction WHERE isfinite(ts) GROUP BY seq_id)
 SELECT track, k.seq_id, CASE WHEN on_ THEN 'present' ELSE 'absent' END AS state, min(frame) AS frame_first, max(frame) AS frame_last, count(*) AS n_frames,
   round(count(*) * any_value(spf), 6) AS duration_sec
 FROM k LEFT JOIN r ON r.seq_id = k.seq_id GROUP BY track, k.seq_id, on_, isle""")
 def p5_events(spark, d: str) -> DataFrame:
     """A frame lasts what one lasts on average in its sequence; null where the sequence has no usable time."""
-    spf = (F.max("ts") - F.min("ts")) / F.nullif(F.max("frame") - F.min("frame"), F.lit(0))
-    rate = table(spark, d, "prediction").filter(~F.isnan("ts") & (F.abs("ts") < float("inf"))).groupBy("seq_id").agg(spf.alias("spf"))
     n = F.col("last") - F.col("first") + 1
     runs = _tracks(spark, d).select("track", F.col("entity").alias("seq_id"), F.when(F.col("state") == 1, "present").otherwise("absent").alias("state"), F.col("first").alias("frame_first"), F.col("last").alias("frame_last"), n.alias("n_frames"))
-    return runs.join(rate, "seq_id", "left").withColumn("duration_sec", F.round(F.col("n_frames") * F.col("spf"), 6)).drop("spf")
+    return _with_duration(spark, d, runs)
 
 
 @R.add("p5_smoothed")
 def p5_smoothed(spark, d: str) -> DataFrame:
     """Near-identical events: flickers that cost less than two boundaries of 2.5 frames each join the run around them."""
-    logit = lambda i: F.when(~F.isnan(F.get("hand_presence_logits", F.lit(i))), (F.get("hand_presence_logits", F.lit(i)) >= 0).cast("int"))
-    pred = table(spark, d, "prediction").select("seq_id", "frame", "ingested_at", logit(0).alias("pred_left"), logit(1).alias("pred_right"))
-    runs = events.collapse_runs(pred, "seq_id", "frame", ["pred_left", "pred_right"], penalty=2.5, order="ingested_at")
-    return runs.select("track", F.col("entity").alias("seq_id"), "state", F.col("first").alias("frame_first"), F.col("last").alias("frame_last"), F.col("cost").alias("frames_changed"))
+    n = F.col("last") - F.col("first") + 1
+    runs = _tracks(spark, d, penalty=2.5).select("track", F.col("entity").alias("seq_id"), "state", F.col("first").alias("frame_first"), F.col("last").alias("frame_last"), n.alias("n_frames"), F.col("cost").alias("frames_changed"))
+    return _with_duration(spark, d, runs)
 
 
 # Problem 6: mixing
