@@ -6,9 +6,12 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows up to which a side may be collected or broadcast by hand; every such use checks its size first.
 SMALL_ROWS = 100_000
+#: Bytes and rows up to which a checkpointed side is sent to every task instead of being shuffled.
+SMALL_BYTES = 32 << 20
 
 
 def get_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -56,3 +59,10 @@ def collect_small(df: DataFrame, limit: int = SMALL_ROWS) -> list:
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows where a small table was expected")
     return rows
+
+
+def broadcast_if_small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame | None:
+    """The side with a broadcast hint if its rows, as text, measure at most ``limit`` bytes; else None, and the caller
+    joins it by a shuffle. ``df`` is read once for it and should be a checkpoint."""
+    size = df.select((F.octet_length(F.to_json(F.struct("*"))) + 64).alias("n")).agg(F.sum("n")).first()[0] or 0
+    return F.broadcast(df) if size <= limit else None
