@@ -267,11 +267,22 @@ PIECES = "chunk STRING, channel STRING, seq INT, text STRING, part STRING, lossy
 _PIECES = pa.schema([("chunk", pa.string()), ("channel", pa.string()), ("seq", pa.int32()), ("text", pa.string()), ("part", pa.string()), ("lossy", pa.string()), ("key", pa.string()), ("unseen", pa.float64()), ("bonus", pa.float64())])
 
 
+def misread(counts: Mapping[str, int]) -> dict[str, int]:
+    """How often each character comes up when the corpus is read in every encoding as if it weren't UTF-8."""
+    out: Counter = Counter()
+    for char, n in counts.items():
+        if not char.isascii():
+            for name in READ_IN:
+                for c in char.encode("utf-8", "surrogatepass").decode(name, "replace"):
+                    out[c] += n
+    return dict(out)
+
+
 def _candidates(counts: dict[str, int], total: int, known: WordFilter):
     floor = math.log(max(total, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = CharModel(counts)
+        model, garbled = CharModel(counts), CharModel(misread(counts))
 
         def unseen(part: str) -> float:
             return floor + sum(model.cost(c) for c in part) / 2
@@ -296,21 +307,35 @@ def _candidates(counts: dict[str, int], total: int, known: WordFilter):
             if at < len(new):
                 yield (chunk, channel, 1 << 30, new[at:], None, None, None, 0.0, bonus)
 
+        def twice(chunk: str, text: str, inner: str) -> Iterator[tuple]:
+            """UTF-8 that was read wrongly twice: the outer lattice prefers what a wrong reading makes of the corpus."""
+            for name in READ_IN:
+                path = lattice_path(text, name, garbled)
+                if not path:
+                    continue
+                mid = "".join(c for _, _, c, _ in path)
+                if LOST not in mid:
+                    for channel, new in readings(mid, 1):
+                        if channel.startswith("utf-8") and LOST not in new:
+                            yield from whole(chunk, f"{channel}, then {name}{inner}", new)
+                    continue
+                for first in READ_IN:
+                    under = lattice_path(mid, first, model)
+                    if under:
+                        yield from damaged(chunk, f"utf-8 as {first}, then {name}{inner}", mid, first, under)
+
         for batch in batches:
             rows: list[tuple] = []
             for chunk in batch["key"].to_pylist():
                 before = len(rows)
                 for channel, new in [("", chunk), *readings(chunk)] if LOST in chunk else readings(chunk):
                     if LOST in new:
+                        inner = f", then {channel.removeprefix('utf-8 as ')}" if channel else ""
                         for name in READ_IN:
                             path = lattice_path(new, name, model)
                             if path:
-                                more = f"utf-8 as {name}"
-                                more = f"{more}, then {channel.removeprefix('utf-8 as ')}" if channel else more
-                                rows += damaged(chunk, more, new, name, path)
-                                for deeper, last in readings("".join(c for _, _, c, _ in path), 1):
-                                    if LOST not in last:
-                                        rows += whole(chunk, f"{deeper}, then {more.removeprefix('utf-8 as ')}", last)
+                                rows += damaged(chunk, f"utf-8 as {name}{inner}", new, name, path)
+                        rows += twice(chunk, new, inner)
                     elif channel and (channel.startswith("utf-8") or all(p.isascii() or p in known for p in parts(new))):
                         rows += whole(chunk, channel, new)
                 if len(rows) > before:
