@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from frameloom.operators import compaction, coverage, spikes
 from frameloom.plans.registry import Registry
 from frameloom.session import checkpoint, table
+from frameloom.sinks.reports import scratch
 
 R = Registry()
 
@@ -36,7 +37,7 @@ WHERE (kind = 'parquet' AND line LIKE '{%}' AND json_valid(line)) OR (kind = 'vi
 @R.add("p2_found", P2_SQL)
 def p2_found(spark, d: str) -> DataFrame:
     blobs = compaction.compact(table(spark, d, "data_files"))
-    return compaction.record_keys(compaction.read_compacted(blobs))
+    return compaction.read_keys(blobs)
 
 
 @R.add("p2_compacted")
@@ -44,6 +45,40 @@ def p2_compacted(spark, d: str) -> DataFrame:
     return compaction.compact(table(spark, d, "data_files"))
 
 
+_P2_LINES = r"""
+lines AS (SELECT file_id, kind, written_at, trim(unnest(regexp_split_to_array(payload, '\r\n|\r|\n'))) AS line FROM data_files),
+records AS (SELECT file_id, kind, written_at, line,
+    CASE WHEN kind = 'parquet' THEN CAST(json_extract_string(line, '$.episode_index') AS BIGINT) ELSE CAST(split_part(line, ',', 1) AS BIGINT) END AS e,
+    CASE WHEN kind = 'parquet' THEN CAST(json_extract_string(line, '$.frame_index') AS BIGINT) ELSE CAST(split_part(line, ',', 2) AS BIGINT) END AS f
+  FROM lines WHERE (kind = 'parquet' AND line LIKE '{%}' AND json_valid(line)) OR (kind = 'video' AND regexp_matches(line, '^-?[0-9]+,-?[0-9]+,-?[0-9]+,[KP]$')))"""
+
+
+@R.add("p2_audit", f"""
+WITH {_P2_LINES},
+n AS (SELECT file_id, count(*) AS records FROM records GROUP BY file_id)
+SELECT kind, count(*) AS files, count(*) FILTER (WHERE payload IS NULL) AS missing, count(*) FILTER (WHERE payload IS NOT NULL AND strlen(payload) IS DISTINCT FROM size_bytes) AS wrong_size,
+  count(*) FILTER (WHERE payload IS NOT NULL AND (content_hash IS NULL OR content_hash = '' OR NOT starts_with(sha256(payload), content_hash))) AS wrong_hash,
+  count(*) FILTER (WHERE payload IS NOT NULL AND coalesce(records, 0) IS DISTINCT FROM n_records) AS wrong_records, coalesce(sum(records), 0)::BIGINT AS records
+FROM data_files LEFT JOIN n USING (file_id) GROUP BY kind""")
+def p2_audit(spark, d: str) -> DataFrame:
+    return compaction.audit(table(spark, d, "data_files"))
+
+
+@R.add("p2_written", f"""
+WITH {_P2_LINES},
+once AS (SELECT kind, e, f, max_by(line, struct_pack(a := coalesce(written_at, '-infinity'::TIMESTAMP), i := file_id)) AS line FROM records GROUP BY kind, e, f)
+SELECT kind, count(*) AS records, sum(strlen(line) + 1)::BIGINT AS raw_bytes, bit_xor(hash_) AS keys FROM (SELECT *, e * 1000003 + f AS hash_ FROM once) GROUP BY kind""")
+def p2_written(spark, d: str) -> DataFrame:
+    """What is read back from files of 16 KB that were written, joined frame by frame to larger ones and written again."""
+    first, second = (f"{scratch(spark)}/{name}" for name in ("small", "large"))
+    compaction.write_compacted(compaction.compact(table(spark, d, "data_files"), target_bytes=1 << 14), first)
+    compaction.write_compacted(compaction.merge_blobs(spark.read.parquet(first)), second)
+    blobs = spark.read.parquet(second)
+    sizes = blobs.groupBy("kind").agg(F.sum("n_records").alias("records"), F.sum("raw_bytes").alias("raw_bytes"))
+    keys = compaction.read_keys(blobs).groupBy("kind").agg(F.bit_xor(F.col("episode_index") * 1000003 + F.col("frame_index")).alias("keys"))
+    return sizes.join(keys, "kind")
+
+
 @R.add("p2_report")
 def p2_report(spark, d: str) -> DataFrame:
     files = table(spark, d, "data_files")

@@ -168,3 +168,42 @@ def test_long_stretch_over_a_block_border(spark):
     rows = [("s", f, "rig", 0.0, pose([f * 0.01 if not 4080 <= f < 4120 else 40.8, 0, 0]), None, None, None, 1, "x") for f in range(3900, 4300)]
     got = spikes.implausible(spark.createDataFrame(rows, PRED), spark.createDataFrame([], GT)).filter("test = 'frozen' AND part = 'all'")
     assert sorted(r["frame"] for r in got.collect()) == list(range(4081, 4120))
+
+
+def test_compaction_parses_few_lines_and_joins_the_rest(spark):
+    line = lambda e, f: '{"episode_index":%d,"frame_index":%d,"main_type":1}' % (e, f)
+    rows = [("parquet", i, None, "\n".join(line(i, f) for f in range(20)) + "\n") for i in range(30)]
+    rows += [("parquet", 100, None, line(3, 19) + "\n" + line(3, 20)), ("parquet", 101, None, rows[5][3]), ("parquet", 102, None, '{"frame_index":7,"episode_index":200}\r\n{"frame_index":8,"epis')]
+    index = compaction.file_index(spark.createDataFrame(rows, FILES))
+    assert {r["file_id"]: r["parsed"] for r in index.collect() if r["parsed"]} == {102: 2}
+    actions = {r["file_id"]: r["action"] for r in compaction.plan_files(index).collect()}
+    assert actions == {i: "lines" if i in (3, 100) else "join" for i in [*[i for i in range(30) if i != 5], 100, 101, 102]}
+    got, _ = keys_of(spark, rows)
+    assert got == sorted([("parquet", i, f) for i in range(30) for f in range(20)] + [("parquet", 3, 20), ("parquet", 200, 7)])
+
+
+def test_merged_frames_hold_the_same_lines(spark):
+    rows = [("video", i, None, "\n".join(f"{i},{f},{f * 7},P" for f in range(300))) for i in range(40)]
+    blobs = compaction.compact(spark.createDataFrame(rows, FILES), target_bytes=4096).cache()
+    merged = compaction.merge_blobs(blobs, 40_000)
+    lines = lambda b: sorted(r["line"] for r in compaction.read_compacted(b).collect())
+    assert lines(merged) == lines(blobs)
+    assert merged.count() < blobs.count() / 4 and merged.agg(F.max("raw_bytes")).first()[0] <= 40_000
+    with pytest.raises(Exception, match="content differs"):
+        compaction.read_keys(merged.withColumn("frames", F.transform("frames", lambda f: f.withField("sha256", F.lit("0"))))).count()
+
+
+def test_compaction_against_line_by_line(spark):
+    import random
+
+    rng = random.Random(5)
+    rows, best = [], {}
+    for i in range(300):
+        e, lo = rng.choice([1, 1, 1, 2, 3]), rng.choice([0, 10, 50, 70_000, 10**12]) + rng.randrange(3000)
+        frames = sorted(rng.sample(range(lo, lo + 40), rng.randrange(1, 12)))
+        rows.append(("video", i, None, "\n".join(f"{e},{f},{i},K" for f in frames)))
+        for f in frames:
+            best[(e, f)] = max(best.get((e, f), -1), i)
+    blobs = compaction.compact(spark.createDataFrame(rows, FILES), target_bytes=2000)
+    got = sorted(r["line"] for r in compaction.read_compacted(blobs).collect())
+    assert got == sorted(f"{e},{f},{i},K" for (e, f), i in best.items())
