@@ -133,26 +133,29 @@ def plan_files(index: DataFrame) -> DataFrame:
     return newest.join(alone, ["kind", "sha"]).select("kind", "sha", "m.file_id", "m.written_at", action)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole files as ranges of bytes, with line ends made even and what isn't complete cut off."""
-    for batch in batches:
-        rows = []
-        for kind, sha, payload in zip(batch["kind"].to_pylist(), batch["sha"].to_pylist(), batch["payload"].to_pylist(), strict=True):
-            records, _ = records_of(kind, payload)
-            _, e, f = min(records, key=lambda r: r[1:])
-            rows.append((kind, e, f, sha, b"".join(r[0] for r in records)))
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()], strict=True)], ["kind", "episode_index", "frame_index", "sha", "bytes"])
+UNITS = "kind STRING, episode_index BIGINT, frame_index BIGINT, sha STRING, written_at TIMESTAMP_NTZ, file_id BIGINT, bytes BINARY"
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole files as ranges of bytes, with line ends made even and what isn't complete cut off, and lines of the files
+    that are cut (without ``sha``), of one key only the newest in the batch."""
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.timestamp("us"), pa.int64(), pa.binary()]
     for batch in batches:
-        rows = []
-        for kind, i, at, payload in zip(batch["kind"].to_pylist(), batch["file_id"].to_pylist(), batch["written_at"].to_pylist(), batch["payload"].to_pylist(), strict=True):
-            rows += [(kind, e, f, at, i, line) for line, e, f in records_of(kind, payload)[0]]
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        types = [pa.string(), pa.int64(), pa.int64(), pa.timestamp("us"), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "episode_index", "frame_index", "written_at", "file_id", "line"])
+        rows, lines = [], {}
+        for kind, sha, at, i, payload, action in zip(*(batch[c].to_pylist() for c in ("kind", "sha", "written_at", "file_id", "payload", "action")), strict=True):
+            records, _ = records_of(kind, payload)
+            if action == "join":
+                _, e, f = min(records, key=lambda r: r[1:])
+                rows.append((kind, e, f, sha, at, i, b"".join(r[0] for r in records)))
+                continue
+            order = (at is not None, at, i is not None, i)
+            for line, e, f in records:
+                old = lines.get((kind, e, f))
+                if old is None or old[0] < (*order, line):
+                    lines[(kind, e, f)] = ((*order, line), at, i)
+        rows += [(*key, None, at, i, order[-1]) for key, (order, at, i) in lines.items()]
+        cols = list(zip(*rows, strict=True)) or [[]] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["kind", "episode_index", "frame_index", "sha", "written_at", "file_id", "bytes"])
 
 
 class _File:
@@ -211,8 +214,8 @@ def _packer(target: int, level: int):
         out = lambda f: pa.RecordBatch.from_pylist([f.row()], _BLOB)
         for batch in batches:
             for part, kind, e, f, sha, unit in zip(*(batch[c].to_pylist() for c in ("part", "kind", "episode_index", "frame_index", "sha", "bytes")), strict=True):
-                if sha is not None and (kind, e, f, sha) == last:
-                    continue  # a row of the table that is there twice
+                if (kind, e, f, sha) == last:
+                    continue  # an older line of the key, or a row of the table that is there twice
                 last, at = (kind, e, f, sha), 0
                 while at < len(unit):
                     if now is not None and now.kind != kind:
@@ -245,9 +248,9 @@ def compact(files: DataFrame, target_bytes: int = TARGET_BYTES, level: int = 6)
     a line whose key is null or no whole number. Of several lines with one key that of the file written last counts,
     then of the highest id.
 
-    Bytes are ranged by (kind, episode, frame), so an episode that holds a third of all rows is cut like any other,
-    and each range is written in one pass that holds one frame and the compressed bytes of one file. A single line
-    longer than the target gets a file of its own. No file gives no row.
+    Bytes are dealt by blocks of an episode's frames, so an episode that holds a third of all rows is cut like any other,
+    and sorted by episode and frame; each part is written in one pass that holds one frame and the compressed bytes of
+    one file. A single line longer than the target gets a file of its own. No file gives no row.
     """
     index = checkpoint(file_index(files))
     plan = checkpoint(plan_files(index))
@@ -255,14 +258,17 @@ def compact(files: DataFrame, target_bytes: int = TARGET_BYTES, level: int = 6)
     sides = _raw(files).withColumn("sha", F.sha2("payload", 256)).alias("f"), (plan if small is None else small).alias("p")
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("kind", "sha", "file_id", "written_at")]
     kept = sides[0].join(sides[1], same).select("f.kind", "f.sha", "f.file_id", "f.written_at", "f.payload", "p.action")
-    whole = kept.filter("action = 'join'").select("kind", "sha", "payload").mapInArrow(_units, "kind STRING, episode_index BIGINT, frame_index BIGINT, sha STRING, bytes BINARY")
-    keys = ["kind", "episode_index", "frame_index"]
-    lines = kept.filter("action = 'lines'").select("kind", "file_id", "written_at", "payload").mapInArrow(_lines, "kind STRING, episode_index BIGINT, frame_index BIGINT, written_at TIMESTAMP_NTZ, file_id BIGINT, line BINARY")
-    newest = lines.groupBy(*keys).agg(F.max(F.struct("written_at", "file_id", "line")).alias("m")).select(*keys, F.lit(None).cast("string").alias("sha"), F.col("m.line").alias("bytes"))
-    total = plan.join(index, ["kind", "sha", "file_id", "written_at"]).agg(F.sum("bytes")).first()[0] or 0
-    parts = max(1, -(-total // target_bytes))
-    ranged = whole.unionByName(newest).repartitionByRange(int(parts), *keys, "sha").sortWithinPartitions(*keys, "sha").withColumn("part", F.spark_partition_id())
-    return ranged.mapInArrow(_packer(target_bytes, level), BLOBS)
+    units = kept.mapInArrow(_units, UNITS)
+    sizes = {r["kind"]: r["n"] for r in index.filter("records > 0").groupBy("kind").agg(F.sum("bytes").alias("n")).collect()}  # a row for each of the two kinds
+    part, parts = F.lit(0), 0
+    for kind, n in sorted(sizes.items()):
+        own = max(1, -(-n * 5 // (target_bytes * 4)))  # parts are not quite equal; few need a second file at four fifths
+        block = F.floor(F.col("frame_index") / BLOCK)
+        part = F.when(F.col("kind") == kind, F.pmod(F.xxhash64("episode_index", block), F.lit(own)) + parts).otherwise(part)
+        parts += own
+    order = ["kind", "episode_index", "frame_index", "sha", F.desc_nulls_last("written_at"), F.desc_nulls_last("file_id"), F.desc("bytes")]
+    dealt = units.withColumn("part", part.cast("int")).repartitionById(max(1, parts), "part").sortWithinPartitions(*order)
+    return dealt.mapInArrow(_packer(target_bytes, level), BLOBS)
 
 
 def merge_blobs(blobs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
