@@ -60,11 +60,12 @@ def p5_found(spark, d: str) -> DataFrame:
 
 def _with_duration(spark, d: str, runs: DataFrame) -> DataFrame:
     spf = (F.max("ts") - F.min("ts")) / F.nullif(F.max("frame") - F.min("frame"), F.lit(0))
-    rate = table(spark, d, "prediction").filter(~F.isnan("ts") & (F.abs("ts") < float("inf"))).groupBy("seq_id").agg(spf.alias("spf"))
+    counting = table(spark, d, "prediction").groupBy("seq_id", "frame").agg(F.max_by("ts", F.struct("ingested_at")).alias("ts"))
+    rate = counting.filter(~F.isnan("ts") & (F.abs("ts") < float("inf"))).groupBy("seq_id").agg(spf.alias("spf"))
     return runs.join(rate, "seq_id", "left").withColumn("duration_sec", F.round(F.col("n_frames") * F.col("spf"), 6)).drop("spf")
 
 
-@R.add("p5_events", P5_SQL + """, r AS (SELECT seq_id, (max(ts) - min(ts)) / nullif(max(frame) - min(frame), 0) AS spf FROM prediction WHERE isfinite(ts) GROUP BY seq_id)
+@R.add("p5_events", P5_SQL + """, r AS (SELECT seq_id, (max(ts) - min(ts)) / nullif(max(frame) - min(frame), 0) AS spf FROM p WHERE isfinite(ts) GROUP BY seq_id)
 SELECT track, k.seq_id, CASE WHEN on_ THEN 'present' ELSE 'absent' END AS state, min(frame) AS frame_first, max(frame) AS frame_last, count(*) AS n_frames,
   round(count(*) * any_value(spf), 6) AS duration_sec
 FROM k LEFT JOIN r ON r.seq_id = k.seq_id GROUP BY track, k.seq_id, on_, isle""")
@@ -75,7 +76,26 @@ def p5_events(spark, d: str) -> DataFrame:
     return _with_duration(spark, d, runs)
 
 
-@R.add("p5_smoothed")
+P5_SMOOTHED = P5_SQL.replace("WITH p AS", "WITH RECURSIVE p AS") + """,
+runs AS (SELECT track, seq_id, on_::INT AS state, min(frame) AS a, max(frame) AS b, count(*) AS n FROM k GROUP BY track, seq_id, on_, isle),
+apart AS (SELECT *, lag(b) OVER (PARTITION BY track, seq_id ORDER BY a) IS DISTINCT FROM a - 1 AS cut FROM runs),
+numbered AS (SELECT *, sum(cut::INT) OVER (PARTITION BY track, seq_id ORDER BY a) AS stretch FROM apart),
+r AS (SELECT *, row_number() OVER (PARTITION BY track, seq_id, stretch ORDER BY a) AS i, count(*) OVER (PARTITION BY track, seq_id, stretch) AS last_i FROM numbered),
+way(track, seq_id, stretch, i, last_i, c0, c1, w0, w1) AS (
+  SELECT track, seq_id, stretch, i, last_i, n * state::DOUBLE, n * (1 - state)::DOUBLE, '0', '1' FROM r WHERE i = 1
+  UNION ALL SELECT r.track, r.seq_id, r.stretch, r.i, r.last_i, least(c0, c1 + 2.5) + n * state, least(c1, c0 + 2.5) + n * (1 - state),
+    CASE WHEN c0 > c1 + 2.5 THEN w1 ELSE w0 END || '0', CASE WHEN c1 > c0 + 2.5 THEN w0 ELSE w1 END || '1'
+  FROM way JOIN r ON r.track = way.track AND r.seq_id = way.seq_id AND r.stretch = way.stretch AND r.i = way.i + 1),
+labelled AS (SELECT r.*, substr(CASE WHEN c1 < c0 THEN w1 ELSE w0 END, r.i::INT, 1)::INT AS label FROM way JOIN r USING (track, seq_id, stretch) WHERE way.i = way.last_i),
+steps AS (SELECT *, lag(label) OVER (PARTITION BY track, seq_id, stretch ORDER BY i) IS DISTINCT FROM label AS new FROM labelled),
+segments AS (SELECT *, sum(new::INT) OVER (PARTITION BY track, seq_id, stretch ORDER BY i) AS segment FROM steps),
+t AS (SELECT seq_id, (max(ts) - min(ts)) / nullif(max(frame) - min(frame), 0) AS spf FROM p WHERE isfinite(ts) GROUP BY seq_id)
+SELECT track, segments.seq_id, label AS state, min(a) AS frame_first, max(b) AS frame_last, (max(b) - min(a) + 1)::BIGINT AS n_frames, sum(n * (state <> label)::INT)::DOUBLE AS frames_changed,
+  round((max(b) - min(a) + 1) * any_value(spf), 6) AS duration_sec
+FROM segments LEFT JOIN t ON t.seq_id = segments.seq_id GROUP BY track, segments.seq_id, stretch, segment, label"""
+
+
+@R.add("p5_smoothed", P5_SMOOTHED)
 def p5_smoothed(spark, d: str) -> DataFrame:
     """Near-identical events: flickers that cost less than two boundaries of 2.5 frames each join the run around them."""
     n = F.col("last") - F.col("first") + 1
