@@ -378,8 +378,10 @@ def way_between(x: np.ndarray, entity: np.ndarray, frame: np.ndarray, burst: np.
 
 
 def bursts(x: np.ndarray, entity: np.ndarray, frame: np.ndarray, jumps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the burst that each reading lies in, else -1, and the smaller one of its jumps: from a jump to the next one, within ``HALO`` frames, that
-    leads back to where the first began or takes back what it did, at least by half. Shorter ones than a quarter of a profile are none."""
+    """Number of the burst that each reading lies in, else -1, and the smaller one of its jumps.
+
+    A burst goes from a jump to the next one within ``HALO`` frames that leads back to where the first began, or takes
+    back what it did, at least by half."""
     out, leap, at = np.full(len(x), -1), np.zeros(len(x)), 0
     while at < len(jumps):
         i = jumps[at]
@@ -392,11 +394,10 @@ def bursts(x: np.ndarray, entity: np.ndarray, frame: np.ndarray, jumps: np.ndarr
             if min(np.linalg.norm(x[j] - x[i - 1]), np.linalg.norm(here + back)) <= np.linalg.norm(here) / 2:
                 end = k
                 break
-        if end is not None and jumps[end] - i >= PROFILE // 4:
-            j = jumps[end]
+        if end is not None:
+            j, at = jumps[end], end
             out[i:j] = i
             leap[i:j] = min(np.linalg.norm(x[i] - x[i - 1]), np.linalg.norm(x[j] - x[j - 1]))
-            at = end
         at += 1
     return out, leap
 
@@ -498,21 +499,24 @@ def _excursions(name: str, part: Part, s: str, r: Readings, of: np.ndarray, out:
     e, f, c = r.entity[of], r.frame[of], r.core[of]
     v = r.x[of][:, part.columns]
     step, near = _steps(v, e, f)
-    # An excursion that fills much of a narrow profile draws the fit there, so those of a quarter and more are looked for
-    # in the wider profiles first. They leave and return by a jump, so only entities with two jumps can have one.
-    long = np.zeros(len(of), bool)
+    # What may be an excursion by its jumps has no say in the patterns' mixture. One that fills much of a narrow profile
+    # is measured against a wider one.
     burst, leap = bursts(v, e, f, np.flatnonzero(near & (step > gate)))
-    at = np.flatnonzero(np.isin(e, e[np.flatnonzero(burst >= 0)])) if (burst >= 0).any() else ()
+    at = np.flatnonzero(burst >= 0)
+    size = np.zeros(len(of), np.int64)
+    size[at] = np.bincount(burst[at], minlength=len(of))[burst[at]]
+    wide_ones, long = size >= PROFILE // 4, np.zeros(len(of), bool)
+    at = np.flatnonzero(np.isin(e, e[wide_ones])) if wide_ones.any() else ()
     if len(at):
         wide, order, es, fs = f"{part.name}@{STRIDES[1]}", *_strided(e[at], f[at], STRIDES[1])
         far = np.zeros(len(of))
         far[at[order]] = Profiles(v[at][order], es, fs, np.ones(len(at), bool)).residual(bases[(name, part.name, s, STRIDES[1])], gate, (burst >= 0)[at][order])
         way = way_between(v, e, f, burst)[0]
-        long = (burst >= 0) & (way > gate) & (far > gate)
+        long = wide_ones & (way > gate) & (far > gate)
         out.count(name, "residual", wide, s, _bin(far[at][(c & ~long)[at]]))
         for i in np.flatnonzero(long & c):
             out.suspect(name, "excursion", wide, s, r.seq[e[i]], [int(f[i])], float(min(far[i], leap[i])))
-    far = Profiles(v, e, f, ~long).residual(bases[(name, part.name, s, 1)], gate)
+    far = Profiles(v, e, f, ~long).residual(bases[(name, part.name, s, 1)], gate, (burst >= 0) & ~long)
     suspect = far > gate
     at = np.flatnonzero(suspect | long)
     runs = np.full(len(of), -1)
