@@ -7,15 +7,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A key is hot beyond this part of all rows.
+HOT = 64
+
 
 def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
     """Joins many rows to a lookup table that has each key once.
 
-    The lookup table is written out ``salts`` times, and the rows of one key are dealt over the copies by a hash of
-    the ``spread`` columns, so that no task gets all rows of a hot key. Null keys match nothing.
+    Only the lookup rows of hot keys are written out ``salts`` times, and the rows of a hot key are dealt over the
+    copies by a hash of the ``spread`` columns, so that no task gets all of them. Keys are told hot by their hashes: a
+    hash with more than a ``HOT``-th of the rows, of which there are fewer than ``HOT``. Null keys match nothing.
     """
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    key = F.xxhash64(*keys)
+    counts = left.groupBy(key.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    total, most, kinds = counts.agg(F.sum("n"), F.max("n"), F.count(F.lit(1))).first()
+    if not total or most * HOT <= total or kinds == 0:
+        return left.join(right, keys, how)
+    hot = [r["h"] for r in counts.filter(F.col("n") * HOT > total).collect()]  # fewer than HOT rows
+    salted = key.isin(hot)
+    dealt = left.withColumn("_salt", F.when(salted, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.when(salted, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from frameloom.session import table
 
@@ -72,3 +73,13 @@ def sql(name: str) -> str:
     """The same input as a subquery for DuckDB, where list indexes begin at 1 and STRING is VARCHAR."""
     text = re.sub(r"\b(e|hand_presence_logits)\[(\d+)\]", lambda m: f"{m[1]}[{int(m[2]) + 1}]", TABLES[name])
     return f"({text.strip()})".replace("AS STRING", "AS VARCHAR")
+
+
+#: Of each frame of the prediction table the row ingested last, for DuckDB.
+NEWEST = "(SELECT * FROM prediction QUALIFY row_number() OVER (PARTITION BY seq_id, frame ORDER BY ingested_at DESC) = 1)"
+
+
+def newest(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """``seq_id, frame`` and columns of the counting rows of the prediction table."""
+    rows = table(spark, d, "prediction").groupBy("seq_id", "frame").agg(F.max_by(F.struct(*columns), "ingested_at").alias("m"))
+    return rows.select("seq_id", "frame", "m.*")

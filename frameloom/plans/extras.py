@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from frameloom.functions import arrays, numbers
 from frameloom.operators import metrics, profile, registry, reports, sequences
 from frameloom.plans import base
+from frameloom.plans.base import newest
 from frameloom.plans.registry import Registry
 from frameloom.plans.scalars import GT, NEWEST, POSE, _joints, _poses
 from frameloom.session import collect_small, table
@@ -269,9 +270,9 @@ def u05_routed_output(spark, d):
     return spark.read.parquet(place).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("u11_capabilities", "SELECT source, bool_or(extrinsic_c2w IS NOT NULL) AS pose, bool_or(hand IS NOT NULL) AS hands FROM prediction GROUP BY source")
+@R.add("u11_capabilities", f"SELECT source, bool_or(extrinsic_c2w IS NOT NULL) AS pose, bool_or(hand IS NOT NULL) AS hands FROM {NEWEST} GROUP BY source")
 def u11_capabilities(spark, d):
-    return table(spark, d, "prediction").groupBy("source").agg(F.bool_or(F.col("extrinsic_c2w").isNotNull()).alias("pose"), F.bool_or(F.col("hand").isNotNull()).alias("hands"))
+    return newest(spark, d, "source", "extrinsic_c2w", "hand").groupBy("source").agg(F.bool_or(F.col("extrinsic_c2w").isNotNull()).alias("pose"), F.bool_or(F.col("hand").isNotNull()).alias("hands"))
 
 
 @R.add("g03_aligned_lookup", "SELECT e.episode_index, arg_min(f.file_id, f.file_id) AS file_id FROM episodes e JOIN data_files f ON f.episode_index = e.episode_index AND f.kind = 'parquet' AND f.frame_to < e.length GROUP BY e.episode_index")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from frameloom.operators import manifest, verify
 from frameloom.plans import base
+from frameloom.plans.base import NEWEST, newest
 from frameloom.plans.registry import Registry
 from frameloom.session import table
 
@@ -253,16 +254,16 @@ def j19_rules_by_lines(spark, d):
     return verify.scan_rules(lines, "line", RULES).groupBy("rule").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@R.add("f25_presence", "SELECT seq_id, frame, CASE WHEN hand_presence_logits[1] IS NOT NULL AND NOT isnan(hand_presence_logits[1]) THEN hand_presence_logits[1] >= 0 ELSE ts % 1 >= 0.5 END AS present FROM prediction")
+@R.add("f25_presence", f"SELECT seq_id, frame, CASE WHEN hand_presence_logits[1] IS NOT NULL AND NOT isnan(hand_presence_logits[1]) THEN hand_presence_logits[1] >= 0 ELSE ts % 1 >= 0.5 END AS present FROM {NEWEST}")
 def f25_presence(spark, d):
     logit = F.get("hand_presence_logits", F.lit(0))
-    return table(spark, d, "prediction").select("seq_id", "frame", F.when(logit.isNotNull() & ~F.isnan(logit), logit >= 0).otherwise(F.col("ts") % 1 >= 0.5).alias("present"))
+    return newest(spark, d, "hand_presence_logits", "ts").select("seq_id", "frame", F.when(logit.isNotNull() & ~F.isnan(logit), logit >= 0).otherwise(F.col("ts") % 1 >= 0.5).alias("present"))
 
 
-@R.add("f27_finite_rows", "SELECT source, count(*) AS n, count(*) FILTER (WHERE len(list_filter(extrinsic_c2w, lambda v: NOT isfinite(v))) = 0) AS finite_rows FROM prediction GROUP BY source")
+@R.add("f27_finite_rows", f"SELECT source, count(*) AS n, count(*) FILTER (WHERE len(list_filter(extrinsic_c2w, lambda v: NOT isfinite(v))) = 0) AS finite_rows FROM {NEWEST} GROUP BY source")
 def f27_finite_rows(spark, d):
     fine = F.forall("extrinsic_c2w", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return table(spark, d, "prediction").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(fine).alias("finite_rows"))
+    return newest(spark, d, "extrinsic_c2w", "source").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(fine).alias("finite_rows"))
 
 
 @R.add("k11_duplicate_targets", "SELECT target, count(*) AS n FROM (SELECT regexp_replace(file_path, '-r[0-9]+', '') AS target FROM data_files) GROUP BY target HAVING count(*) > 1")

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from frameloom.functions import arrays, numbers, text
 from frameloom.plans import base
+from frameloom.plans.base import NEWEST, newest
 from frameloom.plans.registry import Registry
 from frameloom.session import table
 
 R = Registry()
 M = base.sql("MEDIA")
-NEWEST = "(SELECT * FROM prediction QUALIFY row_number() OVER (PARTITION BY seq_id, frame ORDER BY ingested_at DESC) = 1)"
 
 
 def _files(spark, d):
@@ -203,22 +203,18 @@ def c34_quaternion_matrix(spark, d):
 
 @R.add("c36_six_to_matrix", f"""SELECT seq_id, frame, round(abs(sqrt(a1 * a1 + a2 * a2 + a3 * a3) - 1)::DOUBLE, 3) AS length_error FROM (SELECT seq_id, frame, hand[4]::DOUBLE AS a1, hand[5]::DOUBLE AS a2, hand[6]::DOUBLE AS a3 FROM {NEWEST} WHERE hand_presence_logits[1] >= 0 AND isfinite(hand[4]) AND isfinite(hand[5]) AND isfinite(hand[6]) AND abs(hand[4]) < 10 AND abs(hand[5]) < 10 AND abs(hand[6]) < 10)""")
 def c36_six_to_matrix(spark, d):
-    p = _newest(spark, d, "hand", "hand_presence_logits").filter("get(hand_presence_logits, 0) >= 0")
+    p = newest(spark, d, "hand", "hand_presence_logits").filter("get(hand_presence_logits, 0) >= 0")
     a = [arrays.at(F.col("hand"), i) for i in (3, 4, 5)]
     fine = (~F.isnan(a[0])) & (~F.isnan(a[1])) & (~F.isnan(a[2])) & (F.abs(a[0]) < 10) & (F.abs(a[1]) < 10) & (F.abs(a[2]) < 10)
     return p.filter(fine).select("seq_id", "frame", F.round(F.abs(F.sqrt(a[0] * a[0] + a[1] * a[1] + a[2] * a[2]) - 1), 3).alias("length_error"))
 
 
-def _newest(spark, d, *cols):
-    return table(spark, d, "prediction").groupBy("seq_id", "frame").agg(F.max_by(F.struct(*cols), "ingested_at").alias("m")).select("seq_id", "frame", *[F.col(f"m.{c}").alias(c) for c in cols])
-
-
 POSE = f"(SELECT seq_id, frame, extrinsic_c2w AS e FROM {NEWEST} WHERE len(list_filter(extrinsic_c2w, lambda v: NOT isfinite(v) OR abs(v) > 1000)) = 0)"
 
 
 def _poses(spark, d):
     fine = F.forall("extrinsic_c2w", lambda v: ~F.isnan(v) & (F.abs(v) <= 1000))
-    return _newest(spark, d, "extrinsic_c2w").filter(fine).withColumnRenamed("extrinsic_c2w", "e")
+    return newest(spark, d, "extrinsic_c2w").filter(fine).withColumnRenamed("extrinsic_c2w", "e")
 
 
 @R.add("c37_project", f"SELECT seq_id, frame, z > 0.01 AS visible, round(CASE WHEN z > 0.01 THEN 500 * x / z + 320 END, 4) AS u FROM (SELECT seq_id, frame, e[4]::DOUBLE AS x, e[12]::DOUBLE AS z FROM {POSE})")
@@ -329,12 +325,14 @@ def m04_intrinsics_error(spark, d):
     return base.load(spark, d, "MEDIA").groupBy("source").agg(F.round(F.avg(F.abs(p - g) / g) * 100, 6).alias("fov_error"))
 
 
-GT = "(SELECT * FROM gtsequence WHERE hand_valid AND len(list_filter(hand_joints_3d, lambda v: NOT isfinite(v) OR abs(v) > 100)) = 0 QUALIFY row_number() OVER (PARTITION BY seq_id, frame ORDER BY ingested_at DESC) = 1)"
+NEWEST_GT = "(SELECT * FROM gtsequence QUALIFY row_number() OVER (PARTITION BY seq_id, frame ORDER BY ingested_at DESC) = 1)"
+GT = f"(SELECT * FROM {NEWEST_GT} WHERE hand_valid AND len(list_filter(hand_joints_3d, lambda v: NOT isfinite(v) OR abs(v) > 100)) = 0)"
 
 
 def _joints(spark, d):
-    g = table(spark, d, "gtsequence").filter(F.col("hand_valid") & F.forall("hand_joints_3d", lambda v: ~F.isnan(v) & (F.abs(v) <= 100)))
-    return g.groupBy("seq_id", "frame").agg(F.max_by(F.struct("source", "hand_joints_3d"), "ingested_at").alias("m")).select("seq_id", "frame", "m.source", F.col("m.hand_joints_3d").alias("j"))
+    """The joints of the frames whose counting row, the newest, has a valid hand with finite numbers."""
+    g = table(spark, d, "gtsequence").groupBy("seq_id", "frame").agg(F.max_by(F.struct("source", "hand_joints_3d", "hand_valid"), "ingested_at").alias("m")).select("seq_id", "frame", "m.*")
+    return g.filter(F.col("hand_valid") & F.forall("hand_joints_3d", lambda v: ~F.isnan(v) & (F.abs(v) <= 100))).select("seq_id", "frame", "source", F.col("hand_joints_3d").alias("j"))
 
 
 @R.add("m06_mpjpe", f"""WITH g AS (SELECT source, seq_id, frame, hand_joints_3d AS j, lag(hand_joints_3d) OVER (PARTITION BY seq_id ORDER BY frame) AS p FROM {GT})
@@ -349,12 +347,12 @@ def m06_mpjpe(spark, d):
     return g.groupBy("source").agg(F.round(F.avg(F.aggregate(err, F.lit(0.0), lambda s, x: s + x) / 21), 6).alias("mpjpe"))
 
 
-@R.add("m12_parameter_terms", "SELECT source, round(sum(abs(hand_presence_logits[1]) * (hand_presence_logits[1] >= 0)::INT)::DOUBLE / greatest(sum((hand_presence_logits[1] >= 0)::INT), 1), 4) AS term FROM prediction WHERE isfinite(hand_presence_logits[1]) GROUP BY source")
+@R.add("m12_parameter_terms", f"SELECT source, round(sum(abs(hand_presence_logits[1]) * (hand_presence_logits[1] >= 0)::INT)::DOUBLE / greatest(sum((hand_presence_logits[1] >= 0)::INT), 1), 4) AS term FROM {NEWEST} WHERE isfinite(hand_presence_logits[1]) GROUP BY source")
 def m12_parameter_terms(spark, d):
     from frameloom.operators.profile import masked_mean
 
     v = F.get("hand_presence_logits", F.lit(0)).cast("double")
-    return table(spark, d, "prediction").filter(~F.isnan(v) & (F.abs(v) < float("inf"))).groupBy("source").agg(F.round(masked_mean(F.abs(v), v >= 0), 4).alias("term"))
+    return newest(spark, d, "hand_presence_logits", "source").filter(~F.isnan(v) & (F.abs(v) < float("inf"))).groupBy("source").agg(F.round(masked_mean(F.abs(v), v >= 0), 4).alias("term"))
 
 
 @R.add("u10_weighted_terms", "SELECT l_returnflag AS run, round(avg(1.0 * l_quantity + 0.5 * l_tax + 0.1 * l_discount), 6) AS loss FROM lineitem GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from frameloom.functions.numbers import finite, round_half_up_count
 from frameloom.operators import profile, reports, sampling
 from frameloom.plans import base
+from frameloom.plans.base import NEWEST, newest
 from frameloom.plans.registry import Registry
 from frameloom.session import collect_small, table
 
@@ -24,10 +25,10 @@ def _long(spark, d):
     return reports.unpivot_metrics(_scores(spark, d), ["head", "dataset", "seq_id", "status"], METRICS)
 
 
-@R.add("a25_finite_mean", "SELECT source, count(*) AS n, count(v) AS used, round(avg(v), 6) AS mean FROM (SELECT source, CASE WHEN isfinite(hand_presence_logits[1]) THEN hand_presence_logits[1]::DOUBLE END AS v FROM prediction) GROUP BY source")
+@R.add("a25_finite_mean", f"SELECT source, count(*) AS n, count(v) AS used, round(avg(v), 6) AS mean FROM (SELECT source, CASE WHEN isfinite(hand_presence_logits[1]) THEN hand_presence_logits[1]::DOUBLE END AS v FROM {NEWEST}) GROUP BY source")
 def a25_finite_mean(spark, d):
     v = finite(F.get("hand_presence_logits", F.lit(0)))
-    return table(spark, d, "prediction").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("used"), F.round(F.avg(v), 6).alias("mean"))
+    return newest(spark, d, "hand_presence_logits", "source").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("used"), F.round(F.avg(v), 6).alias("mean"))
 
 
 @R.add("a26_report_tree", f"""WITH l AS (SELECT *, CASE WHEN contains(seq_id, '#') THEN split_part(seq_id, '#', 2) END AS side FROM ({LONG}))

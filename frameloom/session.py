@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +50,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """A scan for a costly Python stage: dealt over all cores where its files give fewer tasks than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()  # the scan's own files, without planning the query
+    size = sum(_size(spark, f) for f in files[:cores])
+    tasks = max(len(files), size // _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return df if files and tasks >= cores else df.repartition(cores)
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
+
+
+def _bytes(text: str) -> int:
+    m = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", text.strip().lower())
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if m else 128 << 20
 
 
 def collect_small(df: DataFrame, limit: int = SMALL_ROWS) -> list:
