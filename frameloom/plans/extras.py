@@ -201,23 +201,6 @@ def m05_depth_head(spark, d):
     return a.join(s, "k").groupBy("k").agg(errors[0], errors[2])
 
 
-@R.add("m10_alignments")
-def m10_alignments(spark, d):
-    """Wrist paths aligned by their first two frames, as a whole, and hands frame by frame."""
-
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        j = np.stack(df.sort_values("frame")["j"].to_numpy()).astype(float).reshape(-1, 21, 3)
-        if len(j) < 3:
-            return pd.DataFrame(columns=["seq_id", "first_two", "whole", "per_frame"])
-        a, b = j[:-1], j[1:]
-        error = lambda s, r, t, x, y: float(np.linalg.norm(s * x @ r.T + t - y, axis=-1).mean())
-        two = metrics.umeyama(a[:2].reshape(-1, 3), b[:2].reshape(-1, 3), with_scale=False)
-        all_ = metrics.umeyama(a.reshape(-1, 3), b.reshape(-1, 3))
-        return pd.DataFrame({"seq_id": [df["seq_id"].iloc[0]], "first_two": [error(*two, a, b)], "whole": [error(*all_, a, b)], "per_frame": [float(metrics.joint_errors(a, b)[1].mean())]})
-
-    return metrics.by_key(_joints(spark, d), "seq_id").applyInPandas(one, "seq_id STRING, first_two DOUBLE, whole DOUBLE, per_frame DOUBLE")
-
-
 @R.add("m13_joint_terms", f"WITH g AS (SELECT source, hand_joints_3d AS j FROM {GT}) SELECT source, round(avg(sqrt((j[1]::DOUBLE - j[28]) ** 2 + (j[2]::DOUBLE - j[29]) ** 2 + (j[3]::DOUBLE - j[30]) ** 2)), 4) AS palm FROM g GROUP BY source")
 def m13_joint_terms(spark, d):
     """Masked mean of a joint distance."""
@@ -342,27 +325,6 @@ def g34_episode_scales(spark, d):
     return base.load(spark, d, "FRAMES").groupBy("seq_id").agg(*[F.round(F.greatest(F.stddev_pop(c), F.lit(1e-3)), 6).alias(f"s{c}") for c in ("x", "y", "z")])
 
 
-@R.add("g36_root_translation_error")
-def g36_root_translation_error(spark, d):
-    """Error of the wrist after aligning each run without a gap, relative to the run's path."""
-
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("frame")
-        p, f = np.stack(df["j"].to_numpy()).astype(float)[:, :3], df["frame"].to_numpy()
-        rows = []
-        for run in np.split(np.arange(len(f)), np.flatnonzero(np.diff(f) > 1) + 1):
-            if len(run) < 5:
-                continue
-            g = p[run]
-            pred = g * 1.1 + 0.05
-            path = float(np.linalg.norm(np.diff(g, axis=0), axis=1).sum())
-            s, r, t = metrics.umeyama(pred, g, with_scale=False)
-            rows.append((df["seq_id"].iloc[0], int(f[run[0]]), float(np.linalg.norm(s * pred @ r.T + t - g, axis=1).mean() / max(path, 1e-9) * 100)))
-        return pd.DataFrame(rows, columns=["seq_id", "first", "rte_pct"])
-
-    return metrics.by_key(_joints(spark, d), "seq_id").applyInPandas(one, "seq_id STRING, first BIGINT, rte_pct DOUBLE")
-
-
 @R.add("g38_export_conversion", f"SELECT seq_id, frame, round(-(e[1]::DOUBLE * e[4] + e[5]::DOUBLE * e[8] + e[9]::DOUBLE * e[12]), 3) + 0.0 AS tx FROM {POSE}")
 def g38_export_conversion(spark, d):
     """Camera-to-world poses as world-to-camera rows of another export: R' and -R't."""

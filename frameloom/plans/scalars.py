@@ -335,18 +335,6 @@ def _joints(spark, d):
     return g.filter(F.col("hand_valid") & F.forall("hand_joints_3d", lambda v: ~F.isnan(v) & (F.abs(v) <= 100))).select("seq_id", "frame", "source", F.col("hand_joints_3d").alias("j"))
 
 
-@R.add("m06_mpjpe", f"""WITH g AS (SELECT source, seq_id, frame, hand_joints_3d AS j, lag(hand_joints_3d) OVER (PARTITION BY seq_id ORDER BY frame) AS p FROM {GT})
-SELECT source, round(avg(list_sum(list_transform(range(0, 21), lambda i: sqrt(((j[3*i+1]::DOUBLE - j[1]) - (p[3*i+1]::DOUBLE - p[1])) ** 2 + ((j[3*i+2]::DOUBLE - j[2]) - (p[3*i+2]::DOUBLE - p[2])) ** 2 + ((j[3*i+3]::DOUBLE - j[3]) - (p[3*i+3]::DOUBLE - p[3])) ** 2))) / 21), 6) AS mpjpe FROM g WHERE p IS NOT NULL GROUP BY source""")
-def m06_mpjpe(spark, d):
-    """Root-relative joint error between neighbouring frames, in array expressions."""
-    from pyspark.sql import Window
-
-    g = _joints(spark, d).withColumn("p", F.lag("j").over(Window.partitionBy("seq_id").orderBy("frame"))).filter("p IS NOT NULL")
-    rel = lambda a, i, k: F.get(a, 3 * i + k).cast("double") - F.get(a, F.lit(k)).cast("double")
-    err = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.sqrt(sum((F.pow(rel(F.col("j"), i, k) - rel(F.col("p"), i, k), 2) for k in range(3)), F.lit(0.0))))
-    return g.groupBy("source").agg(F.round(F.avg(F.aggregate(err, F.lit(0.0), lambda s, x: s + x) / 21), 6).alias("mpjpe"))
-
-
 @R.add("m12_parameter_terms", f"SELECT source, round(sum(abs(hand_presence_logits[1]) * (hand_presence_logits[1] >= 0)::INT)::DOUBLE / greatest(sum((hand_presence_logits[1] >= 0)::INT), 1), 4) AS term FROM {NEWEST} WHERE isfinite(hand_presence_logits[1]) GROUP BY source")
 def m12_parameter_terms(spark, d):
     from frameloom.operators.profile import masked_mean

@@ -213,77 +213,10 @@ def k07_diversity_report(spark, d):
 # Grouped kernels: rotation maths and greedy scans on one sequence at a time
 
 
-def _pairs(spark, d):
-    """Predicted poses with a smoothed, shifted and scaled copy as truth."""
-    rigid = lambda e: F.transform(e, lambda v, i: F.when(i.isin(3, 7, 11), v.cast("double") * 2 + 0.5).otherwise(v.cast("double")))
-    return _poses(spark, d).select("seq_id", "frame", F.col("e").cast("array<double>").alias("pred"), rigid(F.col("e")).alias("gt"))
-
-
-@R.add("m01_umeyama")
-def m01_umeyama(spark, d):
-    t = metrics.trajectory_table(_pairs(spark, d))
-    return t.select("seq_id", F.round("scale", 3).alias("scale"), F.round("ate_mm", 1).alias("ate_mm"), "degenerate")
-
-
-@R.add("m02_trajectory")
-def m02_trajectory(spark, d):
-    return metrics.trajectory_table(_pairs(spark, d), with_scale=False)
-
-
-@R.add("m03_extrinsics_head")
-def m03_extrinsics_head(spark, d):
-    from frameloom.operators.reports import unpivot_metrics
-
-    long = unpivot_metrics(metrics.trajectory_table(_pairs(spark, d)), ["seq_id"], ["ate_mm", "ate_pct", "rpe_t_mm", "rpe_r_deg"])
-    return long.groupBy("metric").agg(F.count("value").alias("n"), F.round(F.avg("value"), 3).alias("mean"), F.round(F.percentile("value", F.lit(0.5)), 3).alias("median"))
-
-
 def _by_sequence(df, fn, schema):
     return metrics.by_key(df, "seq_id").applyInPandas(fn, schema)
 
 
-@R.add("m06_pa_mpjpe")
-def m06_pa_mpjpe(spark, d):
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        j = np.stack(df.sort_values("frame")["j"].to_numpy()).astype(float).reshape(-1, 21, 3)
-        if len(j) < 2:
-            return pd.DataFrame(columns=["seq_id", "mpjpe", "pa_mpjpe"])
-        rel, aligned = metrics.joint_errors(j[1:], j[:-1])
-        return pd.DataFrame({"seq_id": [df["seq_id"].iloc[0]], "mpjpe": [rel.mean()], "pa_mpjpe": [aligned.mean()]})
-
-    return _by_sequence(_joints(spark, d), one, "seq_id STRING, mpjpe DOUBLE, pa_mpjpe DOUBLE")
-
-
-@R.add("m07_world_hands")
-def m07_world_hands(spark, d):
-    """Errors of the wrist's path after aligning the first two frames, the whole chunk, and its end relative to its length."""
-
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        p = np.stack(df.sort_values("frame")["j"].to_numpy()).astype(float)[:, :3]
-        rows = []
-        for k in range(0, len(p) - 4, 100):
-            c = p[k : k + 100]
-            noisy = c + 0.001 * np.sin(np.arange(len(c)))[:, None]
-            s, r, t = metrics.umeyama(noisy, c)
-            whole = np.linalg.norm(s * noisy @ r.T + t - c, axis=1).mean()
-            path = np.linalg.norm(np.diff(c, axis=0), axis=1).sum()
-            rows.append((df["seq_id"].iloc[0], k // 100, whole * 1000, np.linalg.norm(noisy[-1] - c[-1]) / max(path, 1e-9) * 100))
-        return pd.DataFrame(rows, columns=["seq_id", "chunk", "wa_mpjpe_mm", "rte_pct"])
-
-    return _by_sequence(_joints(spark, d), one, "seq_id STRING, chunk BIGINT, wa_mpjpe_mm DOUBLE, rte_pct DOUBLE")
-
-
-@R.add("m08_coverage_pose", f"""WITH g AS (SELECT source, seq_id, frame FROM {GT}), p AS (SELECT seq_id, frame, hand_presence_logits[2] >= 0 AS there FROM {NEWEST} WHERE NOT isnan(hand_presence_logits[2]))
-SELECT source, count(*) AS gt_frames, count(*) FILTER (WHERE there) AS hit, count(*) FILTER (WHERE there IS NOT TRUE) AS missed FROM g LEFT JOIN p ON p.seq_id = g.seq_id AND p.frame = g.frame GROUP BY source""")
-def m08_coverage_pose(spark, d):
-    """Coverage-aware counting: a truth frame without a predicted hand counts as missed."""
-    logit = F.get("m.hand_presence_logits", F.lit(1))
-    p = table(spark, d, "prediction").groupBy("seq_id", "frame").agg(F.max_by(F.struct("hand_presence_logits"), "ingested_at").alias("m")).filter(logit.isNotNull() & ~F.isnan(logit)).select("seq_id", "frame", (logit >= 0).alias("there"))
-    j = _joints(spark, d).join(p, ["seq_id", "frame"], "left")
-    hit = F.coalesce("there", F.lit(False))
-    return j.groupBy("source").agg(F.count(F.lit(1)).alias("gt_frames"), F.count_if(hit).alias("hit"), F.count_if(~hit).alias("missed"))
-
-
 @R.add("w15_block_spikes")
 def w15_block_spikes(spark, d):
     def one(df: pd.DataFrame) -> pd.DataFrame:
