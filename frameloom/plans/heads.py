@@ -1,4 +1,4 @@
-"""Metric heads on predictions and truth: wrist paths in the world, and re-annotated hands against their counting rows."""
+"""Metric heads on predictions and truth: wrist paths in the world, and hands carried on from a sequence's first frame."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frameloom.operators import alignment, metrics
+from frameloom.operators.skew import salted_lookup
 from frameloom.plans.base import NEWEST, newest
 from frameloom.plans.registry import Registry
 from frameloom.plans.scalars import GT, _joints
-from frameloom.session import table
 
 R = Registry()
 
@@ -119,16 +119,32 @@ def m07_world_hands(spark, d):
     return chunks.groupBy("seq_id", "chunk").applyInPandas(one, "seq_id STRING, chunk BIGINT, frames BIGINT, " + ", ".join(f"{n} DOUBLE" for n in names))
 
 
-#: Annotations of a frame that were replaced later, with the row that counts.
-REVISED = f"(SELECT o.seq_id, o.frame, o.source, o.hand_joints_3d AS p, n.hand_joints_3d AS g FROM gtsequence o JOIN {GT} n ON n.seq_id = o.seq_id AND n.frame = o.frame AND o.ingested_at < n.ingested_at WHERE o.hand_valid AND len(o.hand_joints_3d) = 63 AND len(n.hand_joints_3d) = 63 AND len(list_filter(o.hand_joints_3d, lambda v: NOT isfinite(v) OR abs(v) > 100)) = 0)"
+_FINE_HAND = "len(hand) = 218 AND len(list_filter(hand[110:118], lambda v: NOT isfinite(v) OR abs(v) > 20)) = 0 AND hand_presence_logits[2] >= 0 AND NOT isnan(hand_presence_logits[2])"
+#: The right hand's 21 joints as predicted: the first annotated hand of a sequence, turned and moved as the prediction
+#: turns and moves since that frame; and as annotated.
+HANDS = f"""(SELECT c.seq_id, c.frame, c.source, list_transform(range(0, 63), lambda k: t[k % 3 + 1] + list_sum(list_transform(range(0, 3), lambda m: list_sum(list_transform(range(1, 4), lambda i: r[3 * (k % 3) + i] * r0[3 * m + i])) * x0[3 * (k // 3) + m + 1]))) AS p, j AS g
+FROM (SELECT q.seq_id, q.frame, q.source, j, list_transform(hand[110:112], lambda v: v::DOUBLE) AS t, {{turn}} AS r FROM (SELECT seq_id, frame, source, hand FROM {NEWEST} WHERE {_FINE_HAND}) q JOIN (SELECT seq_id, frame, list_transform(hand_joints_3d, lambda v: v::DOUBLE) AS j FROM {GT} WHERE len(hand_joints_3d) = 63) y ON y.seq_id = q.seq_id AND y.frame = q.frame) c
+JOIN (SELECT q.seq_id, arg_min({{turn}}, q.frame) AS r0, arg_min(list_transform(j, lambda v, k: v - j[(k - 1) % 3 + 1]), q.frame) AS x0 FROM (SELECT seq_id, frame, hand FROM {NEWEST} WHERE {_FINE_HAND}) q JOIN (SELECT seq_id, frame, list_transform(hand_joints_3d, lambda v: v::DOUBLE) AS j FROM {GT} WHERE len(hand_joints_3d) = 63) y ON y.seq_id = q.seq_id AND y.frame = q.frame GROUP BY q.seq_id) o ON o.seq_id = c.seq_id)"""
+_H = [f"hand[{i}]::DOUBLE" for i in range(113, 119)]
+HANDS = HANDS.replace("{turn}", f"[{', '.join(_H)}, {_H[1]} * {_H[5]} - {_H[2]} * {_H[4]}, {_H[2]} * {_H[3]} - {_H[0]} * {_H[5]}, {_H[0]} * {_H[4]} - {_H[1]} * {_H[3]}]")
 
 
-def revised(spark, d):
-    g = table(spark, d, "gtsequence").select("seq_id", "frame", "source", "hand_joints_3d", "hand_valid", "ingested_at")
-    fine = lambda c: (F.size(c) == 63) & F.forall(c, lambda v: ~F.isnan(v) & (F.abs(v) <= 100))
-    last = g.groupBy("seq_id", "frame").agg(F.max_by(F.struct(F.col("hand_joints_3d").alias("g"), F.col("hand_valid").alias("ok"), F.col("ingested_at").alias("at")), "ingested_at").alias("m")).select("seq_id", "frame", "m.*")
-    old = g.filter(F.col("hand_valid") & fine("hand_joints_3d"))
-    return old.join(last.filter(F.col("ok") & fine("g")), ["seq_id", "frame"]).filter("ingested_at < at").select("seq_id", "frame", "source", F.col("hand_joints_3d").alias("p"), "g")
+def hands(spark, d):
+    logit = F.get("hand_presence_logits", F.lit(1))
+    q = newest(spark, d, "source", "hand", "hand_presence_logits").filter((F.size("hand") == 218) & (logit >= 0) & ~F.isnan(logit)).withColumn("h", F.transform(F.slice("hand", 110, 9), lambda v: v.cast("double")))
+    q = q.filter(F.forall("h", lambda v: ~F.isnan(v) & (F.abs(v) <= 20)))
+    h = lambda i: F.get("h", F.lit(i))
+    turn = F.array(*[h(i) for i in range(3, 9)], h(4) * h(8) - h(5) * h(7), h(5) * h(6) - h(3) * h(8), h(3) * h(7) - h(4) * h(6))
+    y = _joints(spark, d).filter("size(j) = 63").select("seq_id", "frame", F.transform("j", lambda v: v.cast("double")).alias("j"))
+    both = q.select("seq_id", "frame", "source", F.slice("h", 1, 3).alias("t"), turn.alias("r")).join(y, ["seq_id", "frame"])
+    around = F.transform("j", lambda v, k: v - F.get("j", F.pmod(k, F.lit(3))))
+    first = both.groupBy("seq_id").agg(F.min_by(F.struct(F.col("r").alias("r0"), around.alias("x0")), "frame").alias("o")).select("seq_id", "o.*")
+    since = salted_lookup(both, first, ["seq_id"], ["frame"])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    three = F.sequence(F.lit(0), F.lit(2))
+    turned = lambda k, m: total(F.transform(three, lambda i: F.get("r", 3 * F.pmod(k, F.lit(3)) + i) * F.get("r0", 3 * m + i)))
+    joint = lambda k: F.get("t", F.pmod(k, F.lit(3))) + total(F.transform(three, lambda m: turned(k, m) * F.get("x0", k - F.pmod(k, F.lit(3)) + m)))
+    return since.select("seq_id", "frame", "source", F.transform(F.sequence(F.lit(0), F.lit(62)), joint).alias("p"), F.col("j").alias("g"))
 
 
 def _rel(sql: bool):
@@ -140,14 +156,24 @@ def _rel(sql: bool):
     return F.aggregate(err, F.lit(0.0), lambda s, x: s + x) / 21
 
 
-@R.add("m06_mpjpe", f"SELECT source, count(*) AS n, round(avg({_rel(True)}), 6) AS mpjpe FROM {REVISED} GROUP BY source")
+@R.add("m06_mpjpe", f"SELECT source, count(*) AS n, round(avg({_rel(True)}), 6) AS mpjpe FROM {HANDS} GROUP BY source")
 def m06_mpjpe(spark, d):
-    """Root-relative joint error of replaced annotations, in array expressions."""
-    return revised(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(_rel(False)), 6).alias("mpjpe"))
+    """Root-relative joint error, in array expressions."""
+    return hands(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(_rel(False)), 6).alias("mpjpe"))
+
+
+def _by_hand(df, fn, schema: str):
+    """Columns of a kernel on hands ``p, g`` added to their rows, batch by batch."""
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield pd.concat([b[["seq_id", "frame", "source"]].reset_index(drop=True), fn(b["p"], b["g"])], axis=1)
+
+    return df.mapInPandas(run, "seq_id STRING, frame BIGINT, source STRING, " + schema)
 
 
-def _procrustes(p: str, g: str):
-    return F.pandas_udf(fit_hands, "rel DOUBLE, aligned DOUBLE, rigid DOUBLE, scale DOUBLE")(p, g)
+FITTED = "rel DOUBLE, aligned DOUBLE, rigid DOUBLE, scale DOUBLE"
 
 
 def fit_hands(p: pd.Series, g: pd.Series) -> pd.DataFrame:
@@ -165,25 +191,24 @@ def fit_hands(p: pd.Series, g: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"rel": rel, "aligned": aligned, "rigid": rigid, "scale": scale})
 
 
-@R.add("m06_pa_mpjpe", f"SELECT source, count(*) AS n, round(avg({_rel(True)}), 6) AS mpjpe, true AS aligned_is_less FROM {REVISED} GROUP BY source")
+@R.add("m06_pa_mpjpe", f"SELECT source, count(*) AS n, round(avg({_rel(True)}), 6) AS mpjpe, true AS aligned_is_less FROM {HANDS} GROUP BY source")
 def m06_pa_mpjpe(spark, d):
     """The same error beside the one after a fit of each frame, which is less in the mean."""
-    e = revised(spark, d).select("source", _procrustes("p", "g").alias("e"))
-    return e.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("e.rel"), 6).alias("mpjpe"), (F.avg("e.aligned") <= F.avg("e.rel") + 1e-9).alias("aligned_is_less"))
+    e = _by_hand(hands(spark, d), fit_hands, FITTED)
+    return e.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rel"), 6).alias("mpjpe"), (F.avg("aligned") <= F.avg("rel") + 1e-9).alias("aligned_is_less"))
 
 
-@R.add("g37_procrustes", f"SELECT seq_id, frame, round({_rel(True)}, 6) AS rel, true AS fits FROM {REVISED}")
+@R.add("g37_procrustes", f"SELECT seq_id, frame, round({_rel(True)}, 5) AS rel, true AS fits FROM {HANDS}")
 def g37_procrustes(spark, d):
     """Fit of each frame's hand by itself; ``fits`` says that its squared error is no more than the root-relative one's bound."""
-    e = revised(spark, d).select("seq_id", "frame", _procrustes("p", "g").alias("e"))
-    return e.select("seq_id", "frame", F.round("e.rel", 6).alias("rel"), ((F.col("e.aligned") <= 2 * F.col("e.rel") + 1e-9) & (F.col("e.scale") > 0)).alias("fits"))
+    e = _by_hand(hands(spark, d), fit_hands, FITTED)
+    return e.select("seq_id", "frame", F.round("rel", 5).alias("rel"), ((F.col("aligned") <= 2 * F.col("rel") + 1e-9) & (F.col("scale") > 0)).alias("fits"))
 
 
 @R.add("m10_alignments")
 def m10_alignments(spark, d):
-    """Per frame: errors of replaced hands as they are, by the first two joints, and by a fit of the whole hand, in mm."""
+    """Per frame: errors of hands as they are, by the first two joints, and by a fit of the whole hand, in mm."""
 
-    @F.pandas_udf("none DOUBLE, first_two DOUBLE, whole DOUBLE")
     def errors(p: pd.Series, g: pd.Series) -> pd.DataFrame:
         rows = []
         for a, b in zip(p, g, strict=True):
@@ -193,7 +218,7 @@ def m10_alignments(spark, d):
             rows.append([float(np.linalg.norm(m - y, axis=1).mean() * 1000) for m in moved])
         return pd.DataFrame(rows, columns=["none", "first_two", "whole"])
 
-    return revised(spark, d).select("seq_id", "frame", errors("p", "g").alias("e")).select("seq_id", "frame", "e.*")
+    return _by_hand(hands(spark, d), errors, "none DOUBLE, first_two DOUBLE, whole DOUBLE").drop("source")
 
 
 @R.add("m08_coverage_pose", f"""WITH g AS (SELECT source, seq_id, frame FROM {GT}), p AS (SELECT seq_id, frame, hand_presence_logits[2] >= 0 AS there FROM {NEWEST} WHERE NOT isnan(hand_presence_logits[2])),
