@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from frameloom.plans.registry import Registry
 
-MODULES = ["data_quality", "media", "sequences", "runs", "scores", "scalars", "streams", "tables", "extras", "heads"]
+MODULES = ["data_quality", "media", "sequences", "runs", "scores", "scalars", "streams", "tables", "extras", "heads", "files"]
 
 
 def core() -> Registry:
