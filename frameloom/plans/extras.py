@@ -135,7 +135,7 @@ def o12_sequence_shards(spark, d):
     return spark.createDataFrame(sorted(shards.items()), "seq_id STRING, shard INT") if shards else costs.select("seq_id", F.lit(0).alias("shard"))
 
 
-@R.add("c09_short_duration", f"SELECT media_id, CASE WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN printf('%.1fm', s / 60) ELSE printf('%.1fh', s / 3600) END AS label FROM (SELECT media_id, floor(duration_sec * 2)::DOUBLE / 2 AS s FROM {M} WHERE duration_sec IS NOT NULL) WHERE s < 60")
+@R.add("c09_short_duration", f"SELECT media_id, CASE WHEN s < 60 THEN printf('%.1fs', s) WHEN s < 3600 THEN printf('%.1fm', s / 60) ELSE printf('%.1fh', s / 3600) END AS label FROM (SELECT media_id, floor(duration_sec * 2)::DOUBLE / 2 AS s FROM {M} WHERE duration_sec IS NOT NULL)")
 def c09_short_duration(spark, d):
     """``format_number`` rounds the exact binary value, halves to even, as C's printf does; ``format_string`` rounds the shortest decimal up."""
     s = F.col("s")
