@@ -14,7 +14,7 @@ from frameloom.plans.base import newest
 from frameloom.plans.registry import Registry
 from frameloom.plans.scalars import GT, NEWEST, POSE, _joints, _poses
 from frameloom.session import collect_small, table
-from frameloom.sinks.reports import scratch, write_csv
+from frameloom.sinks.reports import scratch, write_csv, write_json
 
 R = Registry()
 M, FR, ST, SC = (base.sql(n) for n in ("MEDIA", "FRAMES", "STAGES", "SCORES"))
@@ -72,11 +72,14 @@ def w38_rotation_velocity(spark, d):
     return metrics.by_key(_poses(spark, d), "seq_id").applyInPandas(one, "seq_id STRING, frame BIGINT, velocity DOUBLE, acceleration DOUBLE")
 
 
-@R.add("f02_column_check", "SELECT 'episodes' AS name, true AS complete UNION ALL SELECT 'tasks', false")
-def f02_column_check(spark, d):
-    need = {"episodes": {"episode_index", "length"}, "tasks": {"task_index", "task"}}
-    return spark.createDataFrame([(t, not need[t] - set(table(spark, d, t).columns)) for t in need], "name STRING, complete BOOLEAN")
+_NEED = {"episodes": ["episode_index", "length"], "tasks": ["task", "task_index"], "prediction": ["depth", "frame", "hand", "mask"]}
+
 
+@R.add("f02_column_check", f"SELECT need.t AS name, string_agg(need.c, ',' ORDER BY need.c) FILTER (WHERE h.column_name IS NULL) AS missing FROM (VALUES {', '.join(f"('{t}', '{c}')" for t, cs in _NEED.items() for c in cs)}) need(t, c) LEFT JOIN (SELECT DISTINCT table_name, column_name FROM information_schema.columns) h ON h.table_name = need.t AND h.column_name = need.c GROUP BY 1")
+def f02_column_check(spark, d):
+    """Required columns that a table lacks, from its schema alone."""
+    missing = [(t, ",".join(sorted(set(cs) - set(table(spark, d, t).columns))) or None) for t, cs in _NEED.items()]
+    return spark.createDataFrame(missing, "name STRING, missing STRING")
 
 @R.add("f26_on_screen", f"SELECT source, count(*) AS joints, count(*) FILTER (WHERE z > 0.01 AND 400 * x / z + 240 BETWEEN 0 AND 479 AND 400 * y / z + 240 BETWEEN 0 AND 479) AS on_screen FROM (SELECT source, j[3 * i + 1]::DOUBLE AS x, j[3 * i + 2]::DOUBLE AS y, j[3 * i + 3]::DOUBLE AS z FROM (SELECT source, hand_joints_3d AS j, unnest(range(0, 21)) AS i FROM {GT})) GROUP BY source")
 def f26_on_screen(spark, d):
@@ -88,16 +91,20 @@ def f26_on_screen(spark, d):
     return seen.groupBy("source").agg(F.count(F.lit(1)).alias("joints"), F.count_if(F.col("p.visible") & F.col("p.u").between(0, 479) & F.col("p.v").between(0, 479)).alias("on_screen"))
 
 
-@R.add("f18_changed_attributes", f"SELECT media_id, CASE WHEN ok IS NOT TRUE THEN 'probe_out' WHEN abs(fps - 30) > 0.01 THEN 'fps' ELSE 'ok' END AS status FROM {M}")
+@R.add("f18_changed_attributes", f"""SELECT media_id, 'resolution' AS changed, CASE WHEN ok IS NOT TRUE THEN 'probe_out' WHEN abs(fps - 30) > 0.01 THEN 'fps' ELSE 'ok' END AS status FROM {M}
+UNION ALL SELECT media_id, 'fps', CASE WHEN ok IS NOT TRUE THEN 'probe_out' WHEN width <> 1280 THEN 'resolution' ELSE 'ok' END FROM {M}
+UNION ALL SELECT media_id, 'fps,resolution', CASE WHEN ok IS NOT TRUE THEN 'probe_out' ELSE 'ok' END FROM {M}""")
 def f18_changed_attributes(spark, d):
-    """Check after a step that changes the resolution: that attribute is left out."""
-    changed = {"resolution"}
+    """Checks after steps that change the resolution, the rate or both: what a step changes is left out."""
     rules = {"probe_out": ~F.col("ok"), "fps": F.abs(F.col("fps") - 30) > 0.01, "resolution": F.col("width") != 1280}
-    status = F.lit("ok")
-    for name in reversed([n for n in rules if n not in changed]):
-        status = F.when(rules[name], name).otherwise(status)
-    return base.load(spark, d, "MEDIA").select("media_id", status.alias("status"))
 
+    def status(changed: str):
+        out = F.lit("ok")
+        for name in reversed([n for n in rules if n not in changed.split(",")]):
+            out = F.when(rules[name], name).otherwise(out)
+        return F.struct(F.lit(changed).alias("changed"), out.alias("status"))
+
+    return base.load(spark, d, "MEDIA").select("media_id", F.inline(F.array(*[status(c) for c in ("resolution", "fps", "fps,resolution")])))
 
 @R.add("k05_completion_log", "SELECT DISTINCT scene, clip_idx FROM " + ST + " WHERE status = 'done'")
 def k05_completion_log(spark, d):
@@ -108,23 +115,31 @@ def k05_completion_log(spark, d):
     return spark.read.schema("scene STRING, clip_idx INT").json(place).distinct()
 
 
-@R.add("k08_benchmark_report", f"SELECT head, dataset, count(*) AS n, round(avg(ate), 6) AS ate FROM {SC} GROUP BY ALL")
+@R.add("k08_benchmark_report", f"""WITH r AS (SELECT head, dataset, count(*) AS n, avg(ate) AS ate FROM {SC} GROUP BY ALL)
+SELECT 'json' AS form, head, dataset, n, round(ate, 6) AS ate, NULL AS line FROM r UNION ALL SELECT 'markdown', head, dataset, NULL, NULL, printf('| %s | %s | %d | %.4f |', head, dataset, n, ate) FROM r""")
 def k08_benchmark_report(spark, d):
-    """The small aggregate as a report file, read back."""
+    """The small aggregate as a JSON and as a Markdown report, both read back."""
     place = scratch(spark)
-    agg = base.load(spark, d, "SCORES").groupBy("head", "dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ate"), 6).alias("ate"))
-    write_csv(agg.coalesce(1), place)
-    return spark.read.schema(agg.schema).option("header", True).csv(place)
-
-
-@R.add("k10_index_cache", "SELECT episode_index, length FROM episodes")
+    agg = base.load(spark, d, "SCORES").groupBy("head", "dataset").agg(F.count(F.lit(1)).alias("n"), F.avg("ate").alias("ate"))
+    write_json(agg, f"{place}/json")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", "head", "dataset", F.col("n").cast("string"), F.regexp_replace(F.format_number("ate", 4), ",", "")), F.lit(" |"))
+    agg.select(line.alias("value")).coalesce(1).write.text(f"{place}/markdown")
+    none = lambda t: F.lit(None).cast(t)
+    j = spark.read.schema(agg.schema).json(f"{place}/json").select(F.lit("json").alias("form"), "head", "dataset", "n", F.round("ate", 6).alias("ate"), none("string").alias("line"))
+    cell = lambda i: F.trim(F.split("value", r"\|")[i])
+    m = spark.read.text(f"{place}/markdown").select(F.lit("markdown").alias("form"), cell(1).alias("head"), cell(2).alias("dataset"), none("bigint").alias("n"), none("double").alias("ate"), F.col("value").alias("line"))
+    return j.unionByName(m)
+
+@R.add("k10_index_cache", "SELECT episode_index, length, true AS cached FROM episodes")
 def k10_index_cache(spark, d):
-    """Index table with the signature of its input beside it; a second call with the same signature reads it back."""
+    """Index table under the signature of its input; the second call finds the signature unchanged and reads it back."""
+    from frameloom.sources.discovery import cached_component
+
     place, e = scratch(spark), table(spark, d, "episodes").select("episode_index", "length")
     signature = e.agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(F.xxhash64("episode_index", "length") % 1_000_003).cast("string")), 256)).first()[0]
-    e.write.option("compression", "zstd").parquet(f"{place}/{signature}")
-    return spark.read.parquet(f"{place}/{signature}")
-
+    cached_component(spark, place, "set", "index", signature, lambda: e)
+    index, hit = cached_component(spark, place, "set", "index", signature, lambda: e)
+    return index.withColumn("cached", F.lit(hit))
 
 @R.add("o12_sequence_shards")
 def o12_sequence_shards(spark, d):
@@ -271,11 +286,14 @@ def g14_clip_identity(spark, d):
     return base.load(spark, d, "STAGES").select(parent.alias("parent"), "clip_idx").distinct()
 
 
-@R.add("g22_report_digest", f"SELECT head, dataset, round(avg(ate), 6) AS ate FROM {SC} GROUP BY ALL")
+@R.add("g22_report_digest", f"""WITH t AS (SELECT head, dataset, avg(ate) AS ate FROM {SC} GROUP BY ALL)
+SELECT head, sha256(string_agg(concat(dataset, '=', round(ate * 1000)::BIGINT), ';' ORDER BY dataset)) AS digest FROM t GROUP BY head""")
 def g22_report_digest(spark, d):
-    tree = base.load(spark, d, "SCORES").groupBy("head", "dataset").agg(F.avg("ate").alias("ate"), F.max("seq_id").alias("seqs"))
-    return tree.drop("seqs").withColumn("ate", F.round("ate", 6))
-
+    """Digest of each head's report without its sequences."""
+    tree = base.load(spark, d, "SCORES").groupBy("head", "dataset").agg(F.avg("ate").alias("ate"))
+    item = F.struct("dataset", F.concat("dataset", F.lit("="), F.round(F.col("ate") * 1000).cast("bigint").cast("string")).alias("text"))
+    items = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"])
+    return tree.groupBy("head").agg(F.sha2(F.array_join(items, ";"), 256).alias("digest"))
 
 @R.add("g23_legacy_match", "SELECT o_orderkey, c_custkey FROM orders JOIN customer ON c_custkey = o_custkey AND c_nationkey = o_orderkey % 25")
 def g23_legacy_match(spark, d):
@@ -284,10 +302,13 @@ def g23_legacy_match(spark, d):
     return o.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), ["c_custkey", "c_nationkey"]).select("o_orderkey", "c_custkey")
 
 
-@R.add("g24_history", "SELECT user_id, count(*) AS records, max(ts) AS newest FROM events WHERE event_type <> 'error' GROUP BY user_id")
+@R.add("g24_history", "SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth, count(*) OVER (PARTITION BY user_id) AS records FROM events WHERE event_type <> 'error' QUALIFY nth <= 20")
 def g24_history(spark, d):
-    return table(spark, d, "events").filter("event_type <> 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("records"), F.max("ts").alias("newest"))
-
+    """The twenty newest records of each user, newest first, with their number in all: a top-k report."""
+    e = table(spark, d, "events").filter("event_type <> 'error'")
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    total = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
+    return e.select("user_id", "event_id", "event_type", "ts", nth.alias("nth"), total.alias("records")).filter("nth <= 20")
 
 @R.add("g25_snapshot_grid", f"WITH a AS (SELECT head, dataset, round(avg(ate), 6) AS ate FROM {SC} WHERE NOT (head = 'head_A' AND dataset = 'set_O') GROUP BY ALL) SELECT h.head, s.dataset, a.ate FROM (SELECT DISTINCT head FROM {SC}) h CROSS JOIN (SELECT DISTINCT dataset FROM {SC}) s LEFT JOIN a ON a.head = h.head AND a.dataset = s.dataset")
 def g25_snapshot_grid(spark, d):
@@ -299,11 +320,11 @@ def g25_snapshot_grid(spark, d):
     return grid.join(a, ["head", "dataset"], "left")
 
 
-@R.add("g26_stage_seconds", "SELECT event_id, value AS decode, value / 2 AS infer FROM events")
+@R.add("g26_stage_seconds", "SELECT event_id, 'k' AS stage, CAST(json_extract(props, '$.k') AS DOUBLE) AS seconds FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def g26_stage_seconds(spark, d):
-    m = F.map_from_arrays(F.array(F.lit("decode"), F.lit("infer")), F.array(F.col("value"), F.col("value") / 2))
-    return table(spark, d, "events").select("event_id", m.alias("m")).select("event_id", F.col("m")["decode"].alias("decode"), F.col("m")["infer"].alias("infer"))
-
+    """Stages and seconds of an archived JSON map, whatever its keys."""
+    m = F.from_json("props", "MAP<STRING, DOUBLE>")
+    return table(spark, d, "events").select("event_id", F.explode(m).alias("stage", "seconds"))
 
 @R.add("g28_keypoints", f"SELECT seq_id, frame, 21 AS joints, round(hand_joints_3d[13]::DOUBLE, 5) AS tip_x FROM {GT}")
 def g28_keypoints(spark, d):

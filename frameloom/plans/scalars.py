@@ -201,12 +201,28 @@ def c34_quaternion_matrix(spark, d):
     return table(spark, d, "events").select("event_id", F.round(m[0], 6).alias("m00"), F.round(m[1], 6).alias("m01"), F.round(m[4], 6).alias("m11"))
 
 
-@R.add("c36_six_to_matrix", f"""SELECT seq_id, frame, round(abs(sqrt(a1 * a1 + a2 * a2 + a3 * a3) - 1)::DOUBLE, 3) AS length_error FROM (SELECT seq_id, frame, hand[4]::DOUBLE AS a1, hand[5]::DOUBLE AS a2, hand[6]::DOUBLE AS a3 FROM {NEWEST} WHERE hand_presence_logits[1] >= 0 AND isfinite(hand[4]) AND isfinite(hand[5]) AND isfinite(hand[6]) AND abs(hand[4]) < 10 AND abs(hand[5]) < 10 AND abs(hand[6]) < 10)""")
+_SIX = ", ".join(f"hand[{i}]::DOUBLE AS {n}" for i, n in zip(range(4, 10), ("a1", "a2", "a3", "b1", "b2", "b3"), strict=True))
+
+
+@R.add("c36_six_to_matrix", f"""WITH h AS (SELECT seq_id, frame, {_SIX} FROM {NEWEST} WHERE hand_presence_logits[1] >= 0 AND len(list_filter(hand[4:9], lambda v: NOT isfinite(v) OR abs(v) >= 10)) = 0),
+x AS (SELECT *, a1 / n AS x1, a2 / n AS x2, a3 / n AS x3 FROM (SELECT *, sqrt(a1 ** 2 + a2 ** 2 + a3 ** 2) AS n FROM h) WHERE n > 1e-6),
+y AS (SELECT *, b1 - s * x1 AS c1, b2 - s * x2 AS c2, b3 - s * x3 AS c3 FROM (SELECT *, x1 * b1 + x2 * b2 + x3 * b3 AS s FROM x)),
+z AS (SELECT *, c1 / m AS y1, c2 / m AS y2, c3 / m AS y3 FROM (SELECT *, sqrt(c1 ** 2 + c2 ** 2 + c3 ** 2) AS m FROM y) WHERE m > 1e-6)
+SELECT seq_id, frame, {', '.join(f'round({e}, 4) + 0.0 AS r{i}' for i, e in enumerate(('x1', 'x2', 'x3', 'y1', 'y2', 'y3', 'x2 * y3 - x3 * y2', 'x3 * y1 - x1 * y3', 'x1 * y2 - x2 * y1')))} FROM z""")
 def c36_six_to_matrix(spark, d):
-    p = newest(spark, d, "hand", "hand_presence_logits").filter("get(hand_presence_logits, 0) >= 0")
-    a = [arrays.at(F.col("hand"), i) for i in (3, 4, 5)]
-    fine = (~F.isnan(a[0])) & (~F.isnan(a[1])) & (~F.isnan(a[2])) & (F.abs(a[0]) < 10) & (F.abs(a[1]) < 10) & (F.abs(a[2]) < 10)
-    return p.filter(fine).select("seq_id", "frame", F.round(F.abs(F.sqrt(a[0] * a[0] + a[1] * a[1] + a[2] * a[2]) - 1), 3).alias("length_error"))
+    """Rotation from its first two rows, made orthonormal, in column expressions."""
+    p = newest(spark, d, "hand", "hand_presence_logits").filter("get(hand_presence_logits, 0) >= 0").filter(F.forall(F.slice("hand", 4, 6), lambda v: ~F.isnan(v) & (F.abs(v) < 10)))
+    v = [arrays.at(F.col("hand"), i) for i in range(3, 9)]
+    p = p.select("seq_id", "frame", *[c.alias(n) for c, n in zip(v, ("a0", "a1", "a2", "b0", "b1", "b2"), strict=True)])
+    col = lambda n: [F.col(f"{n}{i}") for i in range(3)]
+    dot = lambda x, y: sum((i * k for i, k in zip(x, y, strict=True)), F.lit(0.0))
+    p = p.withColumn("n", F.sqrt(dot(col("a"), col("a")))).filter("n > 1e-6").withColumns({f"x{i}": F.col(f"a{i}") / F.nullif(F.col("n"), F.lit(0.0)) for i in range(3)})
+    p = p.withColumn("s", dot(col("x"), col("b"))).withColumns({f"c{i}": F.col(f"b{i}") - F.col("s") * F.col(f"x{i}") for i in range(3)})
+    p = p.withColumn("m", F.sqrt(dot(col("c"), col("c")))).filter("m > 1e-6").withColumns({f"y{i}": F.col(f"c{i}") / F.nullif(F.col("m"), F.lit(0.0)) for i in range(3)})
+    x, y = col("x"), col("y")
+    z = [x[1] * y[2] - x[2] * y[1], x[2] * y[0] - x[0] * y[2], x[0] * y[1] - x[1] * y[0]]
+    return p.select("seq_id", "frame", *[(F.round(c, 4) + 0.0).alias(f"r{i}") for i, c in enumerate([*x, *y, *z])])
+
 
 
 POSE = f"(SELECT seq_id, frame, extrinsic_c2w AS e FROM {NEWEST} WHERE len(list_filter(extrinsic_c2w, lambda v: NOT isfinite(v) OR abs(v) > 1000)) = 0)"

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from frameloom.operators import metrics
 from frameloom.plans import base
+from frameloom.plans.base import newest
 from frameloom.plans.registry import Registry
 from frameloom.plans.scalars import GT, NEWEST, _joints, _poses
 from frameloom.session import checkpoint, table
 from frameloom.sinks.dataset import running_index, validate_dataset, write_dataset
-from frameloom.sinks.reports import append_events, scratch, write_json
+from frameloom.sinks.reports import append_events, scratch, write_csv, write_json
 from frameloom.sources import files
 
 R = Registry()
@@ -27,11 +28,17 @@ def s01_inventory(spark, d):
     return files.inventory(spark, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") > 0).alias("filled"))
 
 
-@R.add("s03_multi_root", "SELECT DISTINCT file_path, split_part(file_path, '/', 1) AS source, regexp_replace(file_path, '/[^/]*$', '') AS folder FROM data_files")
+@R.add("s03_multi_root", """SELECT DISTINCT file_path, source, substr(file_path, length(source) + 2) AS relative, split_part(substr(file_path, length(source) + 2), '/', 1) AS folder FROM (
+SELECT file_path, CASE WHEN file_path LIKE 'data/chunk-000/%' THEN 'data/chunk-000' WHEN file_path LIKE 'data/%' THEN 'data' WHEN file_path LIKE 'videos/%' THEN 'videos' END AS source FROM data_files) WHERE source IS NOT NULL""")
 def s03_multi_root(spark, d):
+    """Three roots, one inside another: each file once, below the deepest root that holds it."""
     f = table(spark, d, "data_files").select("file_path")
-    roots = f.filter("file_path LIKE 'data/%'").unionByName(f)
-    return roots.dropDuplicates(["file_path"]).select("file_path", F.split("file_path", "/")[0].alias("source"), F.regexp_replace("file_path", "/[^/]*$", "").alias("folder"))
+    roots = ["data", "videos", "data/chunk-000"]
+    scans = [f.filter(F.col("file_path").startswith(r + "/")) for r in roots]
+    found = files.nearest_root(scans[0].unionByName(scans[1]).unionByName(scans[2]).dropDuplicates(["file_path"]), "file_path", roots)
+    relative = F.expr("substring(file_path, length(root) + 2)")
+    return found.select("file_path", F.col("root").alias("source"), relative.alias("relative"), F.split(relative, "/")[0].alias("folder"))
+
 
 
 FILES = "SELECT file_id, concat('root', episode_index % 5) AS root, CASE WHEN episode_index % 5 = 0 THEN replace(file_path, '.mp4', '.avi') ELSE file_path END AS path FROM data_files"
@@ -44,23 +51,34 @@ def s04_preferred_videos(spark, d):
     return files.preferred_videos(f, "root", "path").select("file_id", "root")
 
 
-@R.add("s07_probe_cache", "SELECT f.file_id, o.o_totalprice AS cached FROM data_files f JOIN orders o ON o.o_orderkey = f.file_id AND o.o_custkey % 3 = f.file_id % 3")
+@R.add("s07_probe_cache", "SELECT file_id, strlen(payload) AS bytes, file_id % 3 <> 0 AS cached FROM data_files WHERE written_at IS NOT NULL")
 def s07_probe_cache(spark, d):
-    """Rows whose (path, time) key is already probed take the persisted result."""
-    cache = table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), (F.col("o_custkey") % 3).alias("stamp"), F.col("o_totalprice").alias("cached"))
-    return table(spark, d, "data_files").select("file_id", (F.col("file_id") % 3).alias("stamp")).join(cache, ["file_id", "stamp"]).select("file_id", "cached")
-
+    """Files whose (path, time) was probed before take the persisted result; only new and changed ones are probed."""
+    place, f = scratch(spark), table(spark, d, "data_files").filter("written_at IS NOT NULL").select("file_id", "written_at", "payload")
+    probed = lambda df: df.select("file_id", "written_at", F.octet_length("payload").alias("bytes"))
+    before = f.withColumn("written_at", F.when(F.col("file_id") % 3 == 1, F.col("written_at")).when(F.col("file_id") % 3 == 2, F.col("written_at")).otherwise(F.col("written_at") - F.expr("INTERVAL 1 HOUR")))
+    probed(before).write.parquet(place)
+    cache = spark.read.parquet(place)
+    keys = ["file_id", "written_at"]
+    hits = f.drop("payload").join(cache, keys)
+    return hits.select("file_id", "bytes", F.lit(True).alias("cached")).unionByName(probed(f.join(cache, keys, "left_anti")).select("file_id", "bytes", F.lit(False).alias("cached")))
 
 @R.add("s08_episode_scan", "SELECT episode_index, length, data_chunk_index, data_file_index, dataset_from_index, dataset_to_index FROM episodes")
 def s08_episode_scan(spark, d):
     return table(spark, d, "episodes").select("episode_index", "length", "data_chunk_index", "data_file_index", "dataset_from_index", "dataset_to_index")
 
 
-@R.add("s09_discover_episodes", "SELECT e.episode_index, v.n AS video_files FROM episodes e LEFT JOIN (SELECT episode_index, count(*) AS n FROM data_files WHERE kind = 'video' GROUP BY 1) v ON v.episode_index = e.episode_index")
+@R.add("s09_discover_episodes", "SELECT 'all' AS mode, episode_index, length FROM episodes UNION ALL SELECT 'with video', episode_index, length FROM episodes WHERE episode_index IN (SELECT episode_index FROM data_files WHERE kind = 'video')")
 def s09_discover_episodes(spark, d):
-    v = table(spark, d, "data_files").filter("kind = 'video'").groupBy("episode_index").agg(F.count(F.lit(1)).alias("video_files"))
-    return table(spark, d, "episodes").select("episode_index").join(v, "episode_index", "left")
+    """Episodes of the index, read from its cache; those without a stored video are left out where one is required."""
+    from frameloom.sources.discovery import cached_component
 
+    place, e = scratch(spark), table(spark, d, "episodes").select("episode_index", "length")
+    cached_component(spark, place, "set", "episodes", "v1", lambda: e)
+    index, _ = cached_component(spark, place, "set", "episodes", "v1", lambda: e)
+    videos = table(spark, d, "data_files").filter("kind = 'video'").select("episode_index")
+    every = index.select(F.lit("all").alias("mode"), "episode_index", "length")
+    return every.unionByName(index.join(videos, "episode_index", "left_semi").select(F.lit("with video").alias("mode"), "episode_index", "length"))
 
 @R.add("s11_single_episode", "SELECT seq_id, frame, ts FROM prediction WHERE seq_id = (SELECT min(seq_id) FROM prediction)")
 def s11_single_episode(spark, d):
@@ -69,10 +87,13 @@ def s11_single_episode(spark, d):
     return p.filter(F.col("seq_id") == first).select("seq_id", "frame", "ts")
 
 
-@R.add("s12_first_frames", "SELECT DISTINCT seq_id, source FROM prediction WHERE frame = 0")
+@R.add("s12_first_frames", f"SELECT seq_id, arg_min(source, frame) AS source, min(frame) AS frame, round(arg_min(ts, frame), 6) AS ts FROM {NEWEST} GROUP BY seq_id")
 def s12_first_frames(spark, d):
-    return table(spark, d, "prediction").filter("frame = 0").select("seq_id", "source").distinct()
-
+    """Frame 0 of each sequence by a pushed filter; sequences without one give their first frame."""
+    zero = newest(spark, d, "source", "ts").filter("frame = 0")
+    rest = newest(spark, d, "source", "ts").join(zero.select("seq_id"), "seq_id", "left_anti")
+    first = rest.groupBy("seq_id").agg(F.min_by(F.struct("source", "frame", "ts"), "frame").alias("m")).select("seq_id", "m.*")
+    return zero.select("seq_id", "source", "frame", "ts").unionByName(first).withColumn("ts", F.round("ts", 6))
 
 @R.add("s14_name_conflicts", "SELECT source, count(DISTINCT source_dataset_index) AS roots FROM (SELECT lower(trim(source)) AS source, source_dataset_index FROM sample_manifest) WHERE source IS NOT NULL GROUP BY source HAVING count(DISTINCT source_dataset_index) > 1")
 def s14_name_conflicts(spark, d):
@@ -203,11 +224,21 @@ def k04_event_log(spark, d):
     return spark.read.parquet(place).select("record_id")
 
 
-@R.add("k07_diversity_report", f"SELECT source, count(DISTINCT folder) AS folders, count(*) AS files FROM {M} GROUP BY source")
+@R.add("k07_diversity_report", f"""SELECT source, count(DISTINCT folder) AS folders, count(*) AS files, count(DISTINCT extension) AS extensions, count(DISTINCT codec) AS codecs, count(DISTINCT pixel_format) AS pixel_formats, count(DISTINCT resolution) AS resolutions,
+round(sum(duration_sec), 2) AS duration_sum, round(avg(duration_sec), 4) AS duration_mean, round(min(duration_sec), 4) AS duration_min, round(max(duration_sec), 4) AS duration_max, sum(size_bytes)::BIGINT AS size_sum, count(*) FILTER (WHERE has_audio) AS with_audio, count(*) FILTER (WHERE ok) AS ok_files FROM {M} GROUP BY source""")
 def k07_diversity_report(spark, d):
+    """Fourteen columns as a CSV with a header in fixed order, read back."""
     place = scratch(spark)
-    write_json(base.load(spark, d, "MEDIA").groupBy("source").agg(F.count_distinct("folder").alias("folders"), F.count(F.lit(1)).alias("files")), place)
-    return spark.read.schema("source STRING, folders BIGINT, files BIGINT").json(place)
+    n = lambda c: F.count_distinct(c)
+    t = F.col("duration_sec").cast("double")
+    report = base.load(spark, d, "MEDIA").groupBy("source").agg(
+        n("folder").alias("folders"), F.count(F.lit(1)).alias("files"), n("extension").alias("extensions"), n("codec").alias("codecs"), n("pixel_format").alias("pixel_formats"), n("resolution").alias("resolutions"),
+        F.round(F.sum(t), 2).alias("duration_sum"), F.round(F.avg(t), 4).alias("duration_mean"), F.round(F.min(t), 4).alias("duration_min"), F.round(F.max(t), 4).alias("duration_max"),
+        F.sum("size_bytes").alias("size_sum"), F.count_if("has_audio").alias("with_audio"), F.count_if("ok").alias("ok_files"),
+    )
+    write_csv(report, place)
+    return spark.read.schema(report.schema).option("header", True).csv(place)
+
 
 
 # Grouped kernels: rotation maths and greedy scans on one sequence at a time
@@ -328,40 +359,49 @@ def c38_camera_to_world(spark, d):
     return j.select("seq_id", "frame", (F.round(sum((at("e", i) * at("j", i) for i in range(3)), F.lit(0.0)) + at("e", 3), 3) + 0.0).alias("wx"))
 
 
-@R.add("f01_state_projection", f"SELECT seq_id, frame, 122 AS width FROM {NEWEST} WHERE hand IS NOT NULL")
+@R.add("f01_state_projection", f"SELECT seq_id, frame, 122 AS width, round(CASE WHEN isfinite(hand[1]) THEN hand[1]::DOUBLE ELSE 0 END, 4) + 0.0 AS left_x, round(CASE WHEN isfinite(hand[112]) THEN hand[112]::DOUBLE ELSE 0 END, 4) + 0.0 AS right_z, round(list_sum(list_transform(hand[100:109], lambda v: CASE WHEN isfinite(v) THEN v::DOUBLE ELSE 0 END)), 3) + 0.0 AS left_shape FROM {NEWEST} WHERE len(hand) = 218")
 def f01_state_projection(spark, d):
     """State vector of both hands: position 3, rotation as axis-angle 3, pose of 15 joints as axis-angle 45, shape 10."""
 
-    @F.pandas_udf("ARRAY<DOUBLE>")
-    def state(h: pd.Series) -> pd.Series:
-        x = np.nan_to_num(np.stack(h.to_numpy()).astype(float), posinf=0, neginf=0).reshape(-1, 2, 109)
-        with np.errstate(all="ignore"):
-            m = np.nan_to_num(metrics.six_to_matrix(x[:, :, 3:99].reshape(-1, 2, 16, 6)))
-        v = metrics.matrix_to_axis_angle(m).reshape(-1, 2, 48)
-        return pd.Series(list(np.concatenate([x[:, :, :3], v, x[:, :, 99:]], 2).reshape(len(x), -1)))
-
-    p = table(spark, d, "prediction").groupBy("seq_id", "frame").agg(F.max_by(F.struct("hand"), "ingested_at").alias("m")).filter("m.hand IS NOT NULL")
-    return p.select("seq_id", "frame", F.size(state("m.hand")).alias("width"))
-
-
-@R.add("u06_predictor")
+    def state(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.nan_to_num(np.stack(b["hand"].to_numpy()).astype(float), posinf=0, neginf=0).reshape(-1, 2, 109)
+            with np.errstate(all="ignore"):
+                m = np.nan_to_num(metrics.six_to_matrix(x[:, :, 3:99].reshape(-1, 2, 16, 6)))
+            v = metrics.matrix_to_axis_angle(m).reshape(-1, 2, 48)
+            yield pd.DataFrame({"seq_id": b["seq_id"], "frame": b["frame"], "state": list(np.concatenate([x[:, :, :3], v, x[:, :, 99:]], 2).reshape(len(x), -1))})
+
+    s = newest(spark, d, "hand").filter("size(hand) = 218").mapInPandas(state, "seq_id STRING, frame BIGINT, state ARRAY<DOUBLE>")
+    at = lambda i: F.get("state", F.lit(i))
+    shape = F.aggregate(F.slice("state", 52, 10), F.lit(0.0), lambda a, v: a + v)
+    return s.select("seq_id", "frame", F.size("state").alias("width"), (F.round(at(0), 4) + 0.0).alias("left_x"), (F.round(at(63), 4) + 0.0).alias("right_z"), (F.round(shape, 3) + 0.0).alias("left_shape"))
+
+@R.add("u06_predictor", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda v, i: v::DOUBLE * (-1 + 2 * ((i - 1) % 64) / 63.0))), 4) + 0.0 AS score FROM embeddings")
 def u06_predictor(spark, d):
     """An opaque predictor as an iterator over Arrow batches: its state is built once for each task."""
 
     def predict(batches):
         weight = np.linspace(-1, 1, 64)
         for b in batches:
-            x = np.stack(b["embedding"].to_numpy()).astype(float)
-            yield pd.DataFrame({"vec_id": b["vec_id"], "score": x @ np.resize(weight, x.shape[1])})
-
-    return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(predict, "vec_id BIGINT, score DOUBLE")
+            if len(b):
+                x = np.stack(b["embedding"].to_numpy()).astype(float)
+                yield pd.DataFrame({"vec_id": b["vec_id"], "score": x @ np.resize(weight, x.shape[1])})
 
+    return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(predict, "vec_id BIGINT, score DOUBLE").select("vec_id", (F.round("score", 4) + 0.0).alias("score"))
 
 @R.add("u07_first_detection", "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first FROM events GROUP BY ALL")
 def u07_first_detection(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first"))
 
 
-@R.add("w22_smoothed_jitter", f"SELECT seq_id, count(*) AS n FROM {FR} GROUP BY seq_id")
+@R.add("w22_smoothed_jitter", f"SELECT seq_id, round(avg(sqrt(ax ** 2 + ay ** 2 + az ** 2)), 6) + 0.0 AS raw_jitter, true AS calmer FROM (SELECT seq_id, {', '.join(f'{c} - 2 * lag({c}) OVER w + lag({c}, 2) OVER w AS a{c}' for c in 'xyz')} FROM {FR} WINDOW w AS (PARTITION BY seq_id ORDER BY frame)) GROUP BY seq_id HAVING count(ax) > 0")
 def w22_smoothed_jitter(spark, d):
-    return checkpoint(w18_kalman_smoother(spark, d)).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
+    """Jitter, the mean second difference, of each path as it is, and whether the smoother lessens it."""
+    w = Window.partitionBy("seq_id").orderBy("frame")
+    second = F.sqrt(sum((F.pow(F.col(c) - 2 * F.lag(c).over(w) + F.lag(c, 2).over(w), 2) for c in "xyz"), F.lit(0.0)))
+    jitter = lambda df, name: df.select("seq_id", second.alias("j")).groupBy("seq_id").agg(F.avg("j").alias(name))
+    raw = jitter(base.load(spark, d, "FRAMES").select("seq_id", "frame", "x", "y", "z"), "raw")
+    smooth = jitter(w18_kalman_smoother(spark, d), "smooth")
+    return raw.join(smooth, "seq_id").filter("raw IS NOT NULL").select("seq_id", (F.round("raw", 6) + 0.0).alias("raw_jitter"), (F.col("smooth") <= F.col("raw") + 1e-9).alias("calmer"))

@@ -87,24 +87,38 @@ def state_machine(events: DataFrame, key: str, at: str, status: str) -> DataFram
     return slim.groupBy(key).applyInPandasWithState(step, out, "status STRING, at BIGINT, attempts BIGINT", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_latest(path: str, key: str, order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step that keeps the newest row of each key in a table of versions; idempotent by batch number."""
+def upsert_latest(path: str, key: str, order: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step that keeps the newest row of each key. Keys are dealt over buckets and a batch writes the
+    buckets again that it has keys of; a small index says which version of each bucket counts. Idempotent by batch
+    number."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), F.struct(*order)).alias("_m")).select(key, "_m.*")
-        if number > 0:
-            old = spark.read.parquet(f"{path}/v{number - 1}")
-            newest = old.unionByName(newest).groupBy(key).agg(F.max_by(F.struct(*[c for c in newest.columns if c != key]), F.struct(*order)).alias("_m")).select(key, "_m.*")
-        newest.write.mode("overwrite").parquet(f"{path}/v{number}")
+        rest = [c for c in batch.columns if c != key]
+        best = lambda df: df.groupBy("_bucket", key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_m")).select("_bucket", key, "_m.*")
+        new = best(batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+        touched = sorted(r["_bucket"] for r in new.select("_bucket").distinct().collect())  # at most ``buckets``
+        at = {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/index/{number - 1}").collect()} if number > 0 else {}
+        old = [spark.read.parquet(f"{path}/v{at[b]}/_b={b}").withColumn("_bucket", F.lit(b)) for b in touched if b in at]
+        for one in old:
+            new = new.unionByName(one)
+        best(new).withColumn("_b", F.col("_bucket")).drop("_bucket").repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(f"{path}/v{number}")
+        spark.createDataFrame(sorted((at | dict.fromkeys(touched, number)).items()), "bucket INT, version INT").coalesce(1).write.mode("overwrite").parquet(f"{path}/index/{number}")
 
     return step
 
 
+def read_latest(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The table that :func:`upsert_latest` keeps, after a batch."""
+    at = spark.read.parquet(f"{path}/index/{number}").collect()
+    return spark.read.option("recursiveFileLookup", "true").parquet(*[f"{path}/v{r['version']}/_b={r['bucket']}" for r in at])
+
+
 def compact_batches(path: str, records_per_file: int) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step that appends each batch in files of bounded size."""
+    """A foreachBatch step that appends each batch in as few files as their bounded size allows."""
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").option("maxRecordsPerFile", records_per_file).parquet(f"{path}/batch={number}")
+        files = max(1, -(-batch.count() // records_per_file))
+        batch.repartition(files).write.mode("overwrite").option("maxRecordsPerFile", records_per_file).parquet(f"{path}/batch={number}")
 
     return step
