@@ -131,3 +131,14 @@ def pick_resolution(w: Column, h: Column, max_w: int, max_h: int, tolerance: flo
     scaled = F.struct((F.lit(0).cast("long")).alias("area"), even(w).alias("w"), even(h).alias("h"))
     chosen = F.when(best["off"] <= tolerance, F.coalesce(picked, scaled)).otherwise(scaled)
     return F.struct(chosen["w"].alias("w"), chosen["h"].alias("h"))
+
+
+def target_resolution(w: Column, h: Column, max_w: int, max_h: int, mode: str) -> Column:
+    """Struct ``w, h, content_w, content_h`` of the modes that always give the target size: ``pad`` scales the content into
+    it without enlarging, in even numbers, and fills the rest; ``resize`` stretches the content to it."""
+    if mode not in ("pad", "resize"):
+        raise ValueError(f"{mode} is neither pad nor resize")
+    scale = F.least(F.lit(max_w) / w, F.lit(max_h) / h, F.lit(1.0))
+    even = lambda v: F.greatest(F.lit(2), (F.floor(F.floor(v * scale + 1e-9) / 2) * 2).cast("int"))
+    content = (even(w), even(h)) if mode == "pad" else (F.lit(max_w), F.lit(max_h))
+    return F.struct(F.lit(max_w).alias("w"), F.lit(max_h).alias("h"), content[0].alias("content_w"), content[1].alias("content_h"))

@@ -160,21 +160,21 @@ def joint_errors(pred: np.ndarray, gt: np.ndarray, root: int = 0) -> tuple[np.nd
     return rel, aligned
 
 
-def block_spikes(p: np.ndarray, frame: np.ndarray, jump: float = 0.15, max_block: int = 15, recovery: float = 0.15) -> np.ndarray:
-    """Greedy scan: a jump out followed within ``max_block`` rows by a jump back to near where it left marks the block."""
+def block_spikes(p: np.ndarray, frame: np.ndarray, jump: float = 0.15, max_block: int = 15, recovery: float = 0.15, rotation: np.ndarray | None = None, turn: float = 45.0) -> np.ndarray:
+    """Readings between two neighbouring leaps, at most ``max_block`` of them, where the second leads back to within
+    ``recovery`` of where the first left. A leap is a step of more than ``jump``, or a turn of more than ``turn`` degrees,
+    for each frame between. Greedy scans from every leap to the next one come to the same."""
     bad = np.zeros(len(p), bool)
     if len(p) < 4:
         return bad
-    step = np.linalg.norm(np.diff(p, axis=0), axis=1)
-    i = 1
-    while i < len(p):
-        if step[i - 1] > jump:
-            for j in range(i + 1, min(i + max_block, len(p) - 1) + 1):
-                if step[j - 1] > jump and np.linalg.norm(p[j] - p[i - 1]) < recovery:
-                    bad[i:j] = True
-                    i = j
-                    break
-        i += 1
+    gap = np.diff(frame)
+    leap = np.linalg.norm(np.diff(p, axis=0), axis=1) / gap > jump
+    if rotation is not None:
+        leap |= geodesic_deg(rotation[:-1], rotation[1:]) / gap > turn
+    at = np.flatnonzero(leap)
+    for out, back in zip(at[:-1], at[1:], strict=True):
+        if back - out <= max_block and np.linalg.norm(p[back + 1] - p[out]) < recovery:
+            bad[out + 1 : back + 1] = True
     return bad
 
 

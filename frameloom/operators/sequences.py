@@ -139,3 +139,23 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
     bucket = lambda c: F.floor(c / width).cast("long")
     spread = intervals.filter(F.col(stop) >= F.col(start)).withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(stop)))))
     return points.withColumn("_b", bucket(F.col(at))).join(spread, [*keys, "_b"]).filter(F.col(at).between(F.col(start), F.col(stop))).drop("_b")
+
+
+def block_spikes(df: DataFrame, key: str, order: str, pose: str, jump: float = 0.15, turn: float = 45.0, max_block: int = 15, recovery: float = 0.15) -> DataFrame:
+    """``key, order`` of the readings between two neighbouring leaps, at most ``max_block``, where the second leads back to
+    within ``recovery`` of where the first left; entities of fewer than four readings have none.
+
+    ``pose`` is a row-major 4x4 matrix. A leap is a step of more than ``jump`` or a turn of more than ``turn`` degrees for
+    each frame between. A greedy scan only ever goes from a leap to the next one, so neighbouring leaps are all it needs.
+    """
+    at = lambda c, i: F.get(c, F.lit(i)).cast("double")
+    way = lambda a, b: F.sqrt(sum((F.pow(at(a, i) - at(b, i), 2) for i in (3, 7, 11)), F.lit(0.0)))
+    s = df.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(pose).alias("_e"))
+    v = Window.partitionBy("_k").orderBy("_o")
+    s = s.withColumns({"_n": F.row_number().over(v), "_all": F.count(F.lit(1)).over(Window.partitionBy("_k")), "_b": F.lag("_e").over(v), "_gap": F.col("_o") - F.lag("_o").over(v)})
+    trace = sum((at("_e", i) * at("_b", i) for i in (0, 1, 2, 4, 5, 6, 8, 9, 10)), F.lit(0.0))
+    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (trace - 1) / 2))))
+    leaps = s.filter("_b IS NOT NULL AND _all >= 4").filter((way("_e", "_b") / F.col("_gap") > jump) | (angle / F.col("_gap") > turn))
+    pairs = leaps.withColumns({"_next": F.lead("_n").over(v), "_back": F.lead("_e").over(v)}).filter(F.col("_next") - F.col("_n") <= max_block).filter(way("_back", "_b") < recovery)
+    bad = pairs.select(F.col("_k").alias("_key"), F.explode(F.sequence("_n", F.col("_next") - 1)).alias("_row")).distinct()
+    return s.join(bad, (F.col("_k") == F.col("_key")) & (F.col("_n") == F.col("_row"))).select(F.col("_k").alias(key), F.col("_o").alias(order))

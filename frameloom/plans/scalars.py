@@ -182,6 +182,19 @@ def c28_pick_resolution(spark, d):
     return m.select("width", "height", numbers.pick_resolution(F.col("width").cast("double"), F.col("height").cast("double"), 1280, 720).alias("r")).select("width", "height", "r.w", "r.h")
 
 
+_SCALED = "greatest(2, floor(floor({} * least(1280.0 / width, 720.0 / height, 1.0) + 1e-9) / 2)::INT * 2)"
+
+
+@R.add("c28_target_modes", f"""SELECT DISTINCT width, height, mode, 1280 AS w, 720 AS h, CASE WHEN mode = 'pad' THEN {_SCALED.format('width')} ELSE 1280 END AS content_w, CASE WHEN mode = 'pad' THEN {_SCALED.format('height')} ELSE 720 END AS content_h
+FROM {M}, (SELECT unnest(['pad', 'resize']) AS mode) WHERE width > 0 AND height > 0""")
+def c28_target_modes(spark, d):
+    """Sizes of the two modes that always give the target."""
+    m = base.load(spark, d, "MEDIA").filter("width > 0 AND height > 0").select("width", "height").distinct()
+    w, h = F.col("width").cast("double"), F.col("height").cast("double")
+    each = F.array(*[F.struct(F.lit(k).alias("mode"), numbers.target_resolution(w, h, 1280, 720, k).alias("r")) for k in ("pad", "resize")])
+    return m.select("width", "height", F.inline(each)).select("width", "height", "mode", "r.*")
+
+
 @R.add("c29_output_fps", f"SELECT media_id, round(least(fps, 30.0)::DOUBLE, 3) AS fps FROM {M}")
 def c29_output_fps(spark, d):
     return base.load(spark, d, "MEDIA").select("media_id", F.when(F.col("fps").isNotNull(), F.round(F.least(F.col("fps"), F.lit(30.0)), 3)).otherwise(F.lit(30.0)).cast("double").alias("fps"))

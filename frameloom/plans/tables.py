@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from frameloom.operators import metrics
+from frameloom.operators import metrics, sequences
 from frameloom.plans import base
 from frameloom.plans.base import newest
 from frameloom.plans.registry import Registry
-from frameloom.plans.scalars import GT, NEWEST, _joints, _poses
+from frameloom.plans.scalars import GT, NEWEST, POSE, _joints, _poses
 from frameloom.session import checkpoint, table
 from frameloom.sinks.dataset import running_index, validate_dataset, write_dataset
 from frameloom.sinks.reports import append_events, scratch, write_csv, write_json
@@ -248,14 +248,18 @@ def _by_sequence(df, fn, schema):
     return metrics.by_key(df, "seq_id").applyInPandas(fn, schema)
 
 
-@R.add("w15_block_spikes")
-def w15_block_spikes(spark, d):
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("frame")
-        bad = metrics.block_spikes(df[["x", "y", "z"]].to_numpy(), df["frame"].to_numpy(), jump=0.3)
-        return df.loc[bad, ["seq_id", "frame"]]
+_TURN = " + ".join(f"e[{k}]::DOUBLE * lag(e[{k}]) OVER w" for k in (1, 2, 3, 5, 6, 7, 9, 10, 11))
+_STEP = " + ".join(f"(e[{k}]::DOUBLE - lag(e[{k}]) OVER w) ** 2" for k in (4, 8, 12))
 
-    return _by_sequence(base.load(spark, d, "FRAMES").select("seq_id", "frame", "x", "y", "z"), one, "seq_id STRING, frame BIGINT")
+
+@R.add("w15_block_spikes", f"""WITH s AS (SELECT seq_id, frame, e, row_number() OVER w AS n, count(*) OVER (PARTITION BY seq_id) AS total, lag(e) OVER w AS b, frame - lag(frame) OVER w AS gap, sqrt({_STEP}) AS step, {_TURN} AS tr FROM {POSE} WINDOW w AS (PARTITION BY seq_id ORDER BY frame)),
+l AS (SELECT * FROM s WHERE b IS NOT NULL AND total >= 4 AND (step / gap > 0.15 OR degrees(acos(greatest(-1, least(1, (tr - 1) / 2)))) / gap > 45)),
+p AS (SELECT seq_id, n, b, lead(n) OVER v AS next_n, lead(e) OVER v AS next_e FROM l WINDOW v AS (PARTITION BY seq_id ORDER BY n)),
+r AS (SELECT DISTINCT seq_id, unnest(generate_series(n, next_n - 1)) AS n FROM p WHERE next_n - n <= 15 AND sqrt({" + ".join(f"(next_e[{k}]::DOUBLE - b[{k}]) ** 2" for k in (4, 8, 12))}) < 0.15)
+SELECT s.seq_id, s.frame FROM r JOIN s ON s.seq_id = r.seq_id AND s.n = r.n""")
+def w15_block_spikes(spark, d):
+    """Camera readings between two neighbouring leaps, by step or turn, of which the second leads back."""
+    return sequences.block_spikes(_poses(spark, d).filter("size(e) = 16"), "seq_id", "frame", "e")
 
 
 @R.add("w16_slerp_fill")

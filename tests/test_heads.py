@@ -62,3 +62,27 @@ def test_hands_that_only_turned_fit(spark):
     assert out["aligned"].max() < 1e-9 and out["rel"].min() > 0.1 and np.allclose(out["scale"], 0.5) and out["rigid"].min() > 0.1
     e = heads.R.queries["m10_alignments"](spark, "/root/testdata/sf0.01").toPandas()
     assert len(e) and (e["whole"] <= e["none"] + 1e-6).mean() > 0.99
+
+
+def test_block_spikes_by_columns_are_those_of_the_kernel(spark):
+    from frameloom.operators import sequences
+
+    rng = np.random.default_rng(9)
+    rows, want = [], set()
+    for k in range(6):
+        n = 3 if k == 5 else 300
+        frame = np.cumsum(rng.integers(1, 4, n))
+        p = np.cumsum(rng.normal(0, 0.01, (n, 3)), 0)
+        v = np.cumsum(rng.normal(0, 0.02, (n, 3)), 0)
+        for _ in range(0 if n < 4 else 12):
+            i, size = int(rng.integers(1, n - 30)), int(rng.integers(1, 20))
+            (p if rng.random() < 0.6 else v)[i : i + size] += 2.0
+        r = metrics.axis_angle_to_matrix(v)
+        bad = metrics.block_spikes(p, frame, rotation=r)
+        want |= {(f"s{k}", int(f)) for f in frame[bad]}
+        m = np.tile(np.eye(4), (n, 1, 1))
+        m[:, :3, :3], m[:, :3, 3] = r, p
+        rows += [(f"s{k}", int(f), e.ravel().tolist()) for f, e in zip(frame, m, strict=True)]
+    df = spark.createDataFrame(rows, "seq_id STRING, frame BIGINT, e ARRAY<DOUBLE>")
+    got = {tuple(x) for x in sequences.block_spikes(df, "seq_id", "frame", "e").collect()}
+    assert len(want) > 50 and got == want
